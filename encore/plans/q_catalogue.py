@@ -1,3 +1,253 @@
-"""Registered queries (filled in below)."""
+"""Registered catalogue, drill-down and browse queries on binding A."""
 
-from encore.plans.registry import register  # noqa: F401
+from __future__ import annotations
+
+from encore.operators import catalogue as cat
+from encore.plans.registry import register
+from encore.sources.tables import BINDING_A_SQL as A
+from encore.sources.tables import binding_a
+
+ALBUM_LEFT = """FROM albums al
+JOIN artists ar ON al.artist_id = ar.id
+LEFT JOIN tracks t ON t.album_id = al.id
+LEFT JOIN plays p ON p.track_id = t.id"""
+
+TRACK_LEFT = """FROM tracks t
+JOIN albums al ON t.album_id = al.id
+JOIN artists ar ON al.artist_id = ar.id
+LEFT JOIN plays p ON p.track_id = t.id"""
+
+
+@register(
+    "albums_search",
+    A
+    + f"""
+SELECT al.id AS album_id, al.title AS album_title, ar.name AS artist_name,
+       COUNT(DISTINCT t.id) AS track_count, COUNT(p."timestamp") AS play_count,
+       MAX(p."timestamp") AS last_played
+{ALBUM_LEFT}
+WHERE al.title ILIKE '%nation_1%' ESCAPE '~'
+GROUP BY al.id, al.title, ar.name
+ORDER BY play_count DESC, album_title, album_id
+LIMIT 20""",
+)
+def q_albums_search(spark, sf_dir):
+    return cat.albums_search(binding_a(spark, sf_dir), "nation_1", limit=20)
+
+
+@register(
+    "tracks_search",
+    A
+    + f"""
+SELECT t.id AS track_id, t.title AS track_title, ar.name AS artist_name, al.title AS album_title,
+       COUNT(p."timestamp") AS play_count, MAX(p."timestamp") AS last_played
+{TRACK_LEFT}
+WHERE t.title ILIKE '%0001%' ESCAPE '~' AND ar.name ILIKE '%asia%' ESCAPE '~'
+GROUP BY t.id, t.title, ar.name, al.title
+ORDER BY play_count DESC, track_title, track_id
+LIMIT 20""",
+)
+def q_tracks_search(spark, sf_dir):
+    return cat.tracks_search(binding_a(spark, sf_dir), "0001", artist="asia", limit=20)
+
+
+@register(
+    "albums_list",
+    A
+    + f"""
+SELECT al.id AS album_id, al.title AS album_title, ar.name AS artist_name,
+       COUNT(DISTINCT t.id) AS track_count, COUNT(p."timestamp") AS play_count,
+       MAX(p."timestamp") AS last_played
+{ALBUM_LEFT}
+GROUP BY al.id, al.title, ar.name
+HAVING COUNT(p."timestamp") >= 580
+ORDER BY last_played DESC NULLS LAST, album_id
+LIMIT 50""",
+)
+def q_albums_list(spark, sf_dir):
+    return cat.albums_list(binding_a(spark, sf_dir), sort="recent", order="desc", min_plays=580)
+
+
+@register(
+    "artist_details",
+    A
+    + """
+, st AS (SELECT al.artist_id, COUNT(*) AS play_count, COUNT(DISTINCT t.id) AS track_count,
+                COUNT(DISTINCT al.id) AS album_count, MIN(p."timestamp") AS first_played,
+                MAX(p."timestamp") AS last_played
+         FROM plays p JOIN tracks t ON p.track_id = t.id JOIN albums al ON t.album_id = al.id
+         GROUP BY al.artist_id)
+SELECT ar.id AS artist_id, ar.name AS artist_name, COALESCE(play_count, 0) AS play_count,
+       COALESCE(track_count, 0) AS track_count, COALESCE(album_count, 0) AS album_count,
+       first_played, last_played
+FROM artists ar LEFT JOIN st ON st.artist_id = ar.id""",
+)
+def q_artist_details(spark, sf_dir):
+    return cat.artist_details_all(binding_a(spark, sf_dir))
+
+
+ARTIST_TOP_SQL = """
+, r AS (SELECT al.artist_id, t.id AS track_id, t.title AS track_title, al.title AS album_title,
+               COUNT(*) AS play_count, MAX(p."timestamp") AS last_played
+        FROM plays p JOIN tracks t ON p.track_id = t.id JOIN albums al ON t.album_id = al.id
+        GROUP BY al.artist_id, t.id, t.title, al.title)
+SELECT * FROM r
+QUALIFY ROW_NUMBER() OVER (PARTITION BY artist_id ORDER BY play_count DESC, track_id) <= 10"""
+
+
+@register("artist_top_tracks", A + ARTIST_TOP_SQL)
+def q_artist_top_tracks(spark, sf_dir):
+    return cat.artist_top_tracks_all(binding_a(spark, sf_dir), 10)
+
+
+ARTIST_ALBUMS_SQL = """
+SELECT al.artist_id, al.id AS album_id, al.title AS album_title,
+       COUNT(DISTINCT t.id) AS track_count, COUNT(p."timestamp") AS play_count,
+       MAX(p."timestamp") AS last_played
+FROM albums al LEFT JOIN tracks t ON t.album_id = al.id LEFT JOIN plays p ON p.track_id = t.id
+GROUP BY al.artist_id, al.id, al.title"""
+
+
+@register("artist_albums", A + ARTIST_ALBUMS_SQL)
+def q_artist_albums(spark, sf_dir):
+    return cat.artist_albums_all(binding_a(spark, sf_dir))
+
+
+@register(
+    "album_details",
+    A
+    + f"""
+SELECT al.id AS album_id, al.title AS album_title, ar.name AS artist_name,
+       COUNT(DISTINCT t.id) AS track_count, COUNT(p."timestamp") AS play_count,
+       MIN(p."timestamp") AS first_played, MAX(p."timestamp") AS last_played
+{ALBUM_LEFT}
+GROUP BY al.id, al.title, ar.name""",
+)
+def q_album_details(spark, sf_dir):
+    return cat.album_details_all(binding_a(spark, sf_dir))
+
+
+@register(
+    "album_tracks",
+    A
+    + """
+SELECT t.album_id, t.id AS track_id, t.title AS track_title,
+       COUNT(p."timestamp") AS play_count, MAX(p."timestamp") AS last_played
+FROM tracks t LEFT JOIN plays p ON p.track_id = t.id
+GROUP BY t.album_id, t.id, t.title""",
+)
+def q_album_tracks(spark, sf_dir):
+    return cat.album_tracks_all(binding_a(spark, sf_dir))
+
+
+@register(
+    "track_details",
+    A
+    + f"""
+SELECT t.id AS track_id, t.title AS track_title, ar.name AS artist_name, al.title AS album_title,
+       COUNT(p.track_id) AS play_count, MIN(p."timestamp") AS first_played,
+       MAX(p."timestamp") AS last_played
+{TRACK_LEFT}
+GROUP BY t.id, t.title, ar.name, al.title""",
+)
+def q_track_details(spark, sf_dir):
+    return cat.track_details_all(binding_a(spark, sf_dir))
+
+
+@register(
+    "track_plays",
+    A
+    + """
+SELECT track_id, "timestamp" FROM plays
+QUALIFY ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY "timestamp" DESC) <= 100""",
+)
+def q_track_plays(spark, sf_dir):
+    return cat.track_plays_all(binding_a(spark, sf_dir), newest=100)
+
+
+@register(
+    "browse_tracks",
+    A
+    + f"""
+SELECT ar.name AS artist_name, al.title AS album_title, t.title AS track_title,
+       COUNT(p."timestamp") AS play_count, MAX(p."timestamp") AS last_played,
+       t.id AS track_id, al.id AS album_id, ar.id AS artist_id
+{TRACK_LEFT}
+WHERE al.title ILIKE '%nation_2%' ESCAPE '~'
+GROUP BY t.id, al.id, ar.id, ar.name, al.title, t.title
+ORDER BY last_played DESC NULLS LAST, track_id
+LIMIT 50 OFFSET 50""",
+)
+def q_browse_tracks(spark, sf_dir):
+    return cat.browse_tracks(
+        binding_a(spark, sf_dir),
+        offset=50,
+        limit=50,
+        filter_text="nation_2",
+        filter_column="album",
+        sort_by="last_played_desc",
+    )
+
+
+@register(
+    "browse_total",
+    A
+    + """
+SELECT COUNT(DISTINCT t.id) AS total
+FROM tracks t JOIN albums al ON t.album_id = al.id JOIN artists ar ON al.artist_id = ar.id
+WHERE ar.name ILIKE '%rope%' ESCAPE '~' OR al.title ILIKE '%rope%' ESCAPE '~'
+   OR t.title ILIKE '%rope%' ESCAPE '~'""",
+)
+def q_browse_total(spark, sf_dir):
+    return cat.browse_total(binding_a(spark, sf_dir), "rope", "all")
+
+
+@register(
+    "browse_artists",
+    A
+    + """
+SELECT ar.id AS id, ar.name AS name, COUNT(DISTINCT t.id) AS track_count
+FROM artists ar JOIN albums al ON ar.id = al.artist_id JOIN tracks t ON al.id = t.album_id
+GROUP BY ar.id, ar.name
+ORDER BY track_count DESC, id
+LIMIT 100""",
+)
+def q_browse_artists(spark, sf_dir):
+    return cat.browse_artists(binding_a(spark, sf_dir), limit=100)
+
+
+@register(
+    "browse_albums",
+    A
+    + """
+SELECT al.id AS id, al.title AS title, ar.name AS artist_name, COUNT(DISTINCT t.id) AS track_count
+FROM albums al JOIN artists ar ON al.artist_id = ar.id JOIN tracks t ON al.id = t.album_id
+GROUP BY al.id, al.title, ar.name
+ORDER BY track_count DESC, id
+LIMIT 100""",
+)
+def q_browse_albums(spark, sf_dir):
+    return cat.browse_albums(binding_a(spark, sf_dir), limit=100)
+
+
+@register(
+    "artist_show",
+    A
+    + f"""
+, r AS (SELECT al.artist_id, t.id AS track_id, t.title AS track_title,
+               COUNT(*) AS play_count, MAX(p."timestamp") AS last_played
+        FROM plays p JOIN tracks t ON p.track_id = t.id JOIN albums al ON t.album_id = al.id
+        GROUP BY al.artist_id, t.id, t.title),
+tops AS (SELECT * FROM r
+         QUALIFY ROW_NUMBER() OVER (PARTITION BY artist_id ORDER BY play_count DESC, track_id) <= 10),
+items AS (SELECT artist_id, 'top_track' AS section, track_id AS item_id, track_title AS item_title,
+                 play_count, last_played FROM tops
+          UNION ALL
+          SELECT artist_id, 'album', album_id, album_title, play_count, last_played
+          FROM ({ARTIST_ALBUMS_SQL}))
+SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY artist_id, section
+                                  ORDER BY play_count DESC, item_id) AS INTEGER) AS position
+FROM items""",
+)
+def q_artist_show(spark, sf_dir):
+    return cat.show_items(binding_a(spark, sf_dir), top=10)
