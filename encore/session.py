@@ -21,6 +21,7 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -57,9 +58,40 @@ def build_session(
             except Exception:  # static conf of an already running session
                 pass
     spark.sparkContext.setLogLevel("WARN")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in executor Python workers (like ``--py-files``).
+
+    Pandas UDFs defined in this package are pickled by reference, so workers
+    need the package; it is zipped once per SparkContext and added with
+    ``addPyFile``, which distributes it to every executor.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="encore-pyfiles-")
+    zip_path = os.path.join(out_dir, "encore.zip")
+    with zipfile.ZipFile(zip_path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    rel = os.path.relpath(full, os.path.dirname(pkg_dir))
+                    zf.write(full, rel)
+    sc.addPyFile(zip_path)
+    _SHIPPED.add(key)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -82,3 +114,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for written tables)."""
     return os.path.join(checkpoint_dir(spark), *parts)
+
+
+def spread(df):
+    """Round-robin an under-partitioned input across the available cores.
+
+    Only for CPU-heavy per-row stages (record parsing, tokenising). A large
+    input already arrives in many splits and is returned unchanged, so no
+    shuffle is added at scale.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
