@@ -1,3 +1,93 @@
-"""Registered queries (filled in below)."""
+"""Registered full-text, fuzzy and table-search queries (Q9, Q19, Q34, Q36)."""
 
-from encore.plans.registry import register  # noqa: F401
+from __future__ import annotations
+
+from encore.operators import textindex as ti
+from encore.plans.registry import register
+from encore.sources.tables import BINDING_A_SQL as A
+from encore.sources.tables import binding_a, read_table
+
+TOKEN_RE = r"'[\p{L}\p{N}]+'"
+
+
+def _postings_sql(docs: str, cols: list[str]) -> str:
+    parts = [
+        f"SELECT doc_id, '{c}' AS col, unnest(regexp_extract_all(lower(strip_accents({c})), {TOKEN_RE})) AS token FROM {docs}"
+        for c in cols
+    ]
+    return "\nUNION ALL\n".join(parts)
+
+
+def _bm25_sql(docs: str, cols: list[str], terms: list[tuple[str, bool]]) -> str:
+    """DuckDB text of the BM25 ranking of ``docs`` for ANDed (token, is_prefix) terms."""
+    hits = "\nUNION ALL\n".join(
+        f"SELECT doc_id, {i} AS term_id FROM post WHERE "
+        + (f"starts_with(token, '{t}')" if p else f"token = '{t}'")
+        for i, (t, p) in enumerate(terms)
+    )
+    return f"""
+, post AS ({_postings_sql(docs, cols)}),
+dl AS (SELECT doc_id, COUNT(*) AS dl FROM post GROUP BY doc_id),
+corpus AS (SELECT (SELECT COUNT(*) FROM {docs}) AS n, (SELECT SUM(dl)::DOUBLE / COUNT(*) FROM dl) AS avgdl),
+hits AS ({hits}),
+tf AS (SELECT doc_id, term_id, COUNT(*) AS tf FROM hits GROUP BY doc_id, term_id),
+dft AS (SELECT term_id, COUNT(*) AS n FROM tf GROUP BY term_id),
+idf AS (SELECT term_id, CASE WHEN ln((corpus.n - dft.n + 0.5) / (dft.n + 0.5)) > 0
+                             THEN ln((corpus.n - dft.n + 0.5) / (dft.n + 0.5)) ELSE 1e-6 END AS idf
+        FROM dft, corpus),
+scored AS (SELECT tf.doc_id,
+                  -SUM(idf.idf * (tf.tf * 2.2) / (tf.tf + 1.2 * (0.25 + 0.75 * dl.dl / corpus.avgdl))) AS rank
+           FROM tf JOIN idf ON tf.term_id = idf.term_id JOIN dl ON dl.doc_id = tf.doc_id, corpus
+           GROUP BY tf.doc_id HAVING COUNT(*) = {len(terms)})
+"""
+
+
+DOCS_SQL = """
+, docs AS (SELECT t.id AS doc_id, ar.name AS artist_name, al.title AS album_title, t.title AS track_title,
+                  ar.id AS artist_id, al.id AS album_id, t.id AS track_id
+           FROM tracks t JOIN albums al ON t.album_id = al.id JOIN artists ar ON al.artist_id = ar.id)
+"""
+
+
+@register(
+    "search_tracks",
+    A
+    + DOCS_SQL
+    + _bm25_sql("docs", ti.TRACK_COLUMNS, [("europe", False), ("0000001", True)])
+    + """
+SELECT d.track_id, d.track_title, d.album_id, d.album_title, d.artist_id, d.artist_name,
+       COUNT(p."timestamp") AS play_count, MAX(p."timestamp") AS last_played, round(s.rank, 6) AS rank
+FROM scored s JOIN docs d ON d.doc_id = s.doc_id LEFT JOIN plays p ON p.track_id = d.track_id
+GROUP BY d.track_id, d.track_title, d.album_id, d.album_title, d.artist_id, d.artist_name, s.rank
+ORDER BY rank, play_count DESC, track_id""",
+)
+def q_search_tracks(spark, sf_dir):
+    return ti.search_tracks(binding_a(spark, sf_dir), "europe 0000001*")
+
+
+@register("index_count", A + DOCS_SQL + "SELECT COUNT(*) AS indexed FROM docs")
+def q_index_count(spark, sf_dir):
+    return ti.index_tracks(binding_a(spark, sf_dir)).count()
+
+
+DOC_COLS = ["doc_id", "lang", "source", "n_chars", "text"]
+
+
+@register(
+    "table_search",
+    "WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents)"
+    + _bm25_sql("d", ["text"], [("les", False), ("mentre", True)])
+    + """
+SELECT doc.doc_id, doc.lang, doc.source, doc.n_chars, doc.text, round(s.rank, 6) AS rank
+FROM scored s JOIN documents doc ON CAST(doc.doc_id AS VARCHAR) = s.doc_id
+ORDER BY rank, s.doc_id
+LIMIT 20""",
+)
+def q_table_search(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select(*DOC_COLS)
+    return ti.table_search(docs, "doc_id", ["text"], "les mentre*", limit=20, columns=DOC_COLS)
+
+
+@register("artists_search")
+def q_artists_search(spark, sf_dir):
+    return ti.artists_search(binding_a(spark, sf_dir), "asia", limit=20)
