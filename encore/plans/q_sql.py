@@ -1,3 +1,113 @@
-"""Registered queries (filled in below)."""
+"""Registered profile, catalogue, ad-hoc SQL and file queries (Q30-Q33, Q35)."""
 
-from encore.plans.registry import register  # noqa: F401
+from __future__ import annotations
+
+from encore.operators import adhoc, profile
+from encore.plans.registry import register
+from encore.sources.tables import BINDING_A_SQL as A
+from encore.sources.tables import binding_a
+
+
+@register(
+    "analyze_tables",
+    A
+    + """
+SELECT 'tracks' AS table_name, c AS column_name, total_rows, num_null, num_blank, num_distinct FROM (
+  SELECT 'id' AS c, COUNT(*) AS total_rows, COUNT(*) - COUNT(id) AS num_null,
+         COUNT_IF(id = '') AS num_blank, COUNT(DISTINCT id) AS num_distinct FROM tracks
+  UNION ALL
+  SELECT 'title', COUNT(*), COUNT(*) - COUNT(title), COUNT_IF(title = ''), COUNT(DISTINCT title) FROM tracks
+  UNION ALL
+  SELECT 'album_id', COUNT(*), COUNT(*) - COUNT(album_id), COUNT_IF(album_id = ''), COUNT(DISTINCT album_id) FROM tracks)""",
+)
+def q_analyze_tables(spark, sf_dir):
+    return profile.analyze_columns(binding_a(spark, sf_dir).tracks, "tracks")
+
+
+@register(
+    "analyze_common",
+    A
+    + """
+, v AS (SELECT 'album_id' AS column_name, album_id AS value FROM tracks
+        UNION ALL SELECT 'title', title FROM tracks),
+c AS (SELECT column_name, value, COUNT(*) AS count FROM v GROUP BY column_name, value),
+m AS (SELECT 'tracks' AS table_name, column_name, 'most' AS kind,
+             CAST(ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY count DESC, value ASC NULLS FIRST) AS INTEGER) AS rank,
+             value, count FROM c),
+l AS (SELECT 'tracks' AS table_name, column_name, 'least' AS kind,
+             CAST(ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY count ASC, value ASC NULLS FIRST) AS INTEGER) AS rank,
+             value, count FROM c)
+SELECT * FROM m WHERE rank <= 10 UNION ALL SELECT * FROM l WHERE rank <= 10""",
+)
+def q_analyze_common(spark, sf_dir):
+    return profile.common_values(binding_a(spark, sf_dir).tracks, "tracks", ["album_id", "title"], limit=10)
+
+
+@register(
+    "table_overview",
+    A
+    + """
+SELECT 'artists' AS table_name, (SELECT COUNT(*) FROM artists) AS row_count, 'id, name' AS columns,
+       'struct<id:string,name:string>' AS schema
+UNION ALL SELECT 'albums', (SELECT COUNT(*) FROM albums), 'id, title, artist_id',
+       'struct<id:string,title:string,artist_id:string>'
+UNION ALL SELECT 'tracks', (SELECT COUNT(*) FROM tracks), 'id, title, album_id',
+       'struct<id:string,title:string,album_id:string>'
+UNION ALL SELECT 'plays', (SELECT COUNT(*) FROM plays), 'timestamp, track_id',
+       'struct<timestamp:timestamp,track_id:string>'""",
+)
+def q_table_overview(spark, sf_dir):
+    s = binding_a(spark, sf_dir)
+    return profile.table_overview(
+        {"artists": s.artists, "albums": s.albums, "tracks": s.tracks, "plays": s.plays}
+    )
+
+
+SQL_TEXT = """
+SELECT ar.name AS artist_name, CAST(year(p.timestamp) AS INT) AS year, COUNT(*) AS plays
+FROM plays p JOIN tracks t ON p.track_id = t.id JOIN albums al ON t.album_id = al.id
+JOIN artists ar ON al.artist_id = ar.id
+WHERE p.timestamp >= {since}
+GROUP BY ar.name, year(p.timestamp)"""
+
+
+@register("sql_query", A + SQL_TEXT.format(since="TIMESTAMP '1998-01-01'"))
+def q_sql_query(spark, sf_dir):
+    import datetime as dt
+
+    adhoc.register_snowflake(binding_a(spark, sf_dir))
+    return adhoc.sql_query(spark, SQL_TEXT.format(since=":since"), {"since": dt.datetime(1998, 1, 1)})
+
+
+@register(
+    "table_rows",
+    A
+    + """
+SELECT title, id FROM tracks WHERE album_id = '7'
+ORDER BY title DESC LIMIT 20 OFFSET 5""",
+)
+def q_table_rows(spark, sf_dir):
+    adhoc.register_snowflake(binding_a(spark, sf_dir))
+    return adhoc.table_rows(
+        spark, "tracks", columns=["title", "id"], where="album_id = :a", order="title desc",
+        limit=20, offset=5, params={"a": "7"},
+    )
+
+
+@register("files_query")
+def q_files_query(spark, sf_dir):
+    """Q35 over files Spark derives from the driver tables: the track catalogue
+    is exported as CSV to the shared scratch folder, then queried with SQL."""
+    import uuid
+
+    from encore.operators.export import export_tracks, write_output
+    from encore.session import scratch_path
+
+    path = scratch_path(spark, "files", f"catalogue-{uuid.uuid4().hex}.csv")
+    write_output(export_tracks(binding_a(spark, sf_dir)), path, fmt="csv")
+    return adhoc.files_query(
+        spark,
+        [path],
+        "SELECT artist_name, COUNT(*) AS tracks FROM " + path.rsplit("/", 1)[-1].split(".")[0].replace("-", "_")
+        + " GROUP BY artist_name",
+    )
