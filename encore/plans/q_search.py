@@ -91,3 +91,25 @@ def q_table_search(spark, sf_dir):
 @register("artists_search")
 def q_artists_search(spark, sf_dir):
     return ti.artists_search(binding_a(spark, sf_dir), "asia", limit=20)
+
+
+@register(
+    "artist_candidates",
+    A
+    + """
+, named AS (SELECT DISTINCT ar.id, ar.name FROM tracks t JOIN albums al ON t.album_id = al.id
+            JOIN artists ar ON al.artist_id = ar.id),
+fts AS (SELECT id FROM named
+        WHERE len(list_filter(regexp_extract_all(lower(strip_accents(name)), '[\\p{L}\\p{N}]+'),
+                              lambda x: starts_with(x, 'ame'))) > 0),
+cands AS (SELECT id FROM fts UNION SELECT id FROM artists WHERE name ILIKE '%ame%' ESCAPE '~')
+SELECT ar.id AS artist_id, ar.name AS artist_name, COUNT(DISTINCT al.id) AS album_count,
+       COUNT(DISTINCT t.id) AS track_count, COUNT(p."timestamp") AS play_count,
+       MAX(p."timestamp") AS last_played
+FROM artists ar LEFT JOIN albums al ON al.artist_id = ar.id LEFT JOIN tracks t ON t.album_id = al.id
+LEFT JOIN plays p ON p.track_id = t.id
+WHERE ar.id IN (SELECT id FROM cands)
+GROUP BY ar.id, ar.name""",
+)
+def q_artist_candidates(spark, sf_dir):
+    return ti.artist_candidates(binding_a(spark, sf_dir), "ame")
