@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from encore.llm import minhash, mixing, sharding
+from encore.llm import linedup, minhash, mixing, sharding, winnow
 from encore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,16 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rows(table(spark, sf_dir, "documents"))
 
 
+@query("op7_winnowing")
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op8_line_dedup", linedup.ORACLE_SQL)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.dedup_lines(table(spark, sf_dir, "pages"))
+
+
 @query("op10_sharding")
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
