@@ -17,7 +17,7 @@ from encore.session import scratch_path, ship_package
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that one block of a blocked sum or numbering holds on average.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 5_000
 
 #: Bytes of text that a Python worker handles at a time.
 SLICE_BYTES = 2 << 20
