@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from encore.llm import cgk, linedup, minhash, mixing, sharding, winnow
+from encore.llm import cgk, linedup, minhash, mixing, quality, sharding, winnow
 from encore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cgk.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_winnowing")
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.fingerprints(table(spark, sf_dir, "documents"))
