@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from encore.llm.blocks import BLOCK_WEIGHT, compare_blocks
 from encore.llm.common import slices, stored, text_bytes
 from encore.llm.components import components
 from encore.llm.tokens import PLACE, mix64, shingles, split_words, word_hashes
@@ -107,17 +108,79 @@ def estimate(a: Column, b: Column) -> Column:
     return ((F.lit(1.0) - unlike / PERMUTATIONS) - chance) / (1 - chance)
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough; reads the texts of candidate rows only."""
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(ends, "doc_id", "left_semi").select("doc_id", "text")
-    sets = stored(texts.mapInArrow(_sets, "node long, items array<long>"), "minhash-sets").filter(F.size("items") > 0)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b"
-    )
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = 100 * shared >= F.lit(100 * threshold) * (F.size("x") + F.size("y") - shared)
-    return both.filter(alike).select("a", "b").distinct()
+def _full_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, items): the full sets of the rows of ``nodes`` (one column); reads all texts, keeps those."""
+    ends = nodes.distinct().hint("merge")
+    texts = docs.join(ends, docs.doc_id == ends[ends.columns[0]], "left_semi")
+    return stored(texts.mapInArrow(_sets, "node long, items array<long>").filter(F.size("items") > 0), "minhash-sets")
+
+
+def _alike(x: Column, y: Column, threshold: float) -> Column:
+    """Whether two full sets are alike enough; unlike sizes tell before the sets are compared."""
+    shared = F.size(F.array_intersect(x, y))
+    near = F.least(F.size(x), F.size(y)) >= threshold * F.greatest(F.size(x), F.size(y))
+    return near & (100 * shared >= F.lit(100 * threshold) * (F.size(x) + F.size(y) - shared))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose full sets are alike enough."""
+    x = sets.select(F.col("node").alias("a"), F.col("items").alias("x")).hint("merge")
+    y = sets.select(F.col("node").alias("b"), F.col("items").alias("y")).hint("merge")
+    return pairs.join(x, "a").join(y, "b").filter(_alike(F.col("x"), F.col("y"), threshold)).select("a", "b").distinct()
+
+
+def _near_nodes(least: float):
+    """For compare_blocks, on signatures: the (lead, node, side) with a partner of another group at ``least`` or more."""
+    chance = 1.0 / 2**BITS
+    most_unlike = PERMUTATIONS * (1 - (least * (1 - chance) + chance))
+    ones = np.uint64(sum(1 << (BITS * k) for k in range(64 // BITS)))
+
+    def compare(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (s.column("items").flatten().to_numpy().view(np.uint64).reshape(s.num_rows, -1) for s in (left, right))
+        own_x, own_y = left.column("own").to_numpy(), right.column("own").to_numpy()
+        hit_x, hit_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        for at in range(0, len(x), 64):
+            unlike = np.zeros((len(x[at : at + 64]), len(y)), np.int16)
+            for k in range(x.shape[1]):
+                bits = x[at : at + 64, k, None] ^ y[None, :, k]
+                folded = bits
+                for s in range(1, BITS):
+                    folded = folded | (bits >> np.uint64(s))
+                unlike += np.bitwise_count(folded & ones)
+            near = (unlike <= most_unlike) & (own_x[at : at + 64, None] != own_y[None, :])
+            hit_x[at : at + 64] |= near.any(axis=1)
+            hit_y |= near.any(axis=0)
+        node = np.concatenate([left.column("node").to_numpy()[hit_x], right.column("node").to_numpy()[hit_y]])
+        side = np.repeat(np.array([0, 1], np.int32), [hit_x.sum(), hit_y.sum()])
+        lead = np.full(len(node), left.column("lead")[0].as_py(), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(lead), pa.array(node), pa.array(side)], names=["lead", "node", "side"])
+
+    return compare
+
+
+def _alike_pairs(threshold: float):
+    """For compare_blocks, on full sets: the linked pairs of different groups, by counting shared members."""
+
+    def compare(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
+        size = np.diff(right.column("items").offsets.to_numpy())
+        items = right.column("items").flatten().to_numpy()
+        owner = np.repeat(np.arange(right.num_rows), size)
+        order = np.argsort(items, kind="stable")
+        items, owner = items[order], owner[order]
+        own, node = right.column("own").to_numpy(), right.column("node").to_numpy()
+        a, b = [], []
+        for i in range(left.num_rows):
+            mine = left.column("items")[i].values.to_numpy()
+            lo, hi = np.searchsorted(items, mine, "left"), np.searchsorted(items, mine, "right")
+            count = hi - lo
+            where = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            shared = np.bincount(owner[where], minlength=right.num_rows)
+            linked = (100 * shared >= 100 * threshold * (len(mine) + size - shared)) & (own != left.column("own")[i].as_py())
+            b.append(node[linked])
+            a.append(np.full(len(b[-1]), left.column("node")[i].as_py(), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return compare
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,10 +190,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, doc_id: str = "doc
     4 propose pairs (a pair at 0.75 is missed 5 times in a million), the signatures' equal bits,
     corrected for chance, drop pairs far below the threshold, and full sets decide. Texts with
     equal sets are one node. First every member of a band's bucket is held against the bucket's
-    smallest member and the groups are joined; then, in buckets whose members still differ in
-    group, members are held against those of other groups. So a bucket of copies costs one pair a
-    member, and no link between groups is left out. Hot buckets and groups are split by Spark's
-    skew joins.
+    smallest member and the groups are joined; then members outside that member's group are held
+    against all of the group and against each other. So a bucket of copies costs one pair a member,
+    and no link between groups is left out. Hot buckets and groups are split by Spark's skew joins;
+    joins of corpus size are merge joins at every size.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id of the group), kept. Null, empty and
     word-less texts have 0 shingles and are linked with nothing; fewer than 5 words make one
@@ -153,38 +216,52 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, doc_id: str = "doc
     sig = classes.select("node", "sig")
 
     def signed_pairs(pairs: DataFrame) -> DataFrame:
-        a = sig.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
-        b = sig.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
+        a = sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")).hint("merge")
+        b = sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")).hint("merge")
         return pairs.join(a, "a").join(b, "b").filter(estimate(F.col("sa"), F.col("sb")) >= threshold - MARGIN).select("a", "b").distinct()
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("n")).union(pairs.select(F.col("b").alias("n")))
+
     first = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     first = stored(signed_pairs(first), "minhash-pairs")
-    links = stored(_linked(first, rows, threshold), "minhash-links")
+    links = stored(_linked(first, _full_sets(ends(first), rows), threshold), "minhash-links")
 
-    # A member of another group than the bucket's pivot is held against all members of groups other than its own.
-    group = components(links)
-    grouped = shared.join(group, shared.node == group.node, "left").select(
-        shared.node, "band", "pivot", F.coalesce("component", shared.node).alias("own")
-    )
-    lead = group.select(F.col("node").alias("pivot"), F.col("component").alias("lead"))
+    # members of another group than their bucket's pivot
+    group = stored(components(links), "minhash-groups")
+    grouped = shared.join(group.hint("merge"), "node", "left").select("node", "band", "pivot", F.coalesce("component", "node").alias("own"))
+    lead = group.select(F.col("node").alias("pivot"), F.col("component").alias("lead")).hint("merge")
     grouped = grouped.join(lead, "pivot", "left").withColumn("lead", F.coalesce("lead", "pivot")).drop("pivot")
-    grouped = stored(grouped.withColumn("apart", F.col("own") != F.col("lead")), "minhash-grouped")
-    # two members apart, at least: one alone has been held against the pivot, unless the pivot's group has more members here
-    left = grouped.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.col("apart").cast("int")).alias("k")).filter("k > 0 and n > 2")
-    rest = stored(grouped.join(left.select("band"), "band", "left_semi").join(sig, "node"), "minhash-rest")
-    x = rest.filter("apart").select("band", F.col("node").alias("a"), F.col("own").alias("ga"), F.col("sig").alias("sa"))
-    y = rest.select(F.col("band").alias("band_b"), F.col("node").alias("b"), F.col("own").alias("gb"), F.col("sig").alias("sb"), F.col("apart").alias("yb"))
-    more = x.join(
-        y,
-        (F.col("band") == F.col("band_b")) & (F.col("ga") != F.col("gb")) & (~F.col("yb") | (F.col("a") < F.col("b")))
-        & (estimate(F.col("sa"), F.col("sb")) >= threshold - MARGIN),
-    ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = stored(more.join(first, ["a", "b"], "left_anti"), "minhash-pairs")
+    apart = stored(grouped.filter("own <> lead"), "minhash-apart")
+    # ... are held against the whole group of the pivot and against each other, first by signature, then by full set
+    outside = stored(apart.select("lead", "node", "own").distinct(), "minhash-outside")
+    crowd = outside.groupBy("lead").agg(F.count("*").alias("n")).join(
+        group.groupBy(F.col("component").alias("lead")).agg(F.count("*").alias("m")).hint("merge"), "lead", "left"
+    ).filter("n > 1 or m > 1").select("lead")
+    left = outside.join(crowd.hint("merge"), "lead", "left_semi")
+    inside = group.select(F.col("component").alias("lead"), "node", F.col("component").alias("own"))
+    right = left.unionByName(inside.join(left.select("lead").distinct().hint("merge"), "lead", "left_semi"))
+
+    def described(nodes: DataFrame, items: DataFrame, weight: Column) -> DataFrame:
+        return nodes.join(items.withColumnsRenamed({"sig": "items"}).hint("merge"), "node").withColumn("weight", weight)
+
+    each = F.lit(BLOCK_WEIGHT // 4000)
+    near = compare_blocks(
+        described(left, sig, each), described(right, sig, each), "lead", "weight", _near_nodes(threshold - MARGIN), "lead long, node long, side int"
+    )
+    near = stored(near.distinct(), "minhash-near")
+    sets = _full_sets(near.select("node"), rows)
+    members = F.size("items").cast("int")
+    more = compare_blocks(
+        described(left.join(near.filter("side = 0").select("lead", "node").hint("merge"), ["lead", "node"], "left_semi"), sets, members),
+        described(right.join(near.filter("side = 1").select("lead", "node").hint("merge"), ["lead", "node"], "left_semi"), sets, members),
+        "lead", "weight", _alike_pairs(threshold), "a long, b long",
+    )
     # a doc_id with rows in several classes ties these together
     key = F.struct("k1", "k2", "n_shingles")
     several = used.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo <> hi").select("doc_id")
     tied = used.join(several, "doc_id").join(classes.select("k1", "k2", "n_shingles", "node"), ["k1", "k2", "n_shingles"])
-    links = links.union(_linked(more, rows, threshold)).union(tied.select("doc_id", "node"))
+    links = links.union(more).union(tied.select("doc_id", "node"))
     final = components(links)
 
     named = classes.select("k1", "k2", "n_shingles", "node").join(final, "node", "left")
