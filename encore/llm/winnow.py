@@ -84,24 +84,24 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def next_documents(keys: DataFrame) -> DataFrame:
-    """For each (doc_id, mark) of ``keys``, those of the next by descending doc_id; the last's is the first's.
+    """For each (id, mark, absent) of ``keys``, id and mark of the next by descending id, absent ones last; the last's is the first's.
 
-    Rows are dealt by ranges of doc_id; each range is read in its own task, and only its first row
-    meets those of the other ranges.
+    Rows are dealt by ranges; each range is read in its own task, and only its first row meets
+    those of the other ranges.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.col("mark").asc()]
-    dealt = stored(keys.distinct().repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "winnow-order")
+    order = [F.col("absent").asc(), F.col("id").desc(), F.col("mark").asc()]
+    dealt = stored(keys.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "winnow-order")
     inside = Window.partitionBy("range").orderBy(*order)
-    row = F.struct("doc_id", "mark")
+    row = F.struct("id", "mark")
     led = dealt.withColumn("next", F.lead(row).over(inside)).withColumn("lead", F.row_number().over(inside))
     firsts = led.filter("lead = 1").select("range", row.alias("first"))
     # one row per range
     ranges = Window.orderBy("range")
     follow = firsts.select(
-        "range", F.coalesce(F.lead("first").over(ranges), F.first("first").over(ranges)).alias("after")
-    ).withColumnRenamed("range", "r")
+        F.col("range").alias("r"), F.coalesce(F.lead("first").over(ranges), F.first("first").over(ranges)).alias("after")
+    )
     joined = led.join(follow, F.col("range") == F.col("r"))
-    return joined.select("doc_id", "mark", F.coalesce("next", "after").alias("next"))
+    return joined.select("id", "mark", "n", F.coalesce("next", "after").alias("next"))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,23 +120,24 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     are ignored. An empty table gives an empty result.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text")).withColumn("mark", F.xxhash64("text"))
-    keys = stored(rows.select("doc_id", "mark", F.char_length("text").alias("n")).distinct(), "winnow-keys")
-    sizes = keys.select(F.col("doc_id").alias("i"), F.col("mark").alias("m"), "n")
-    order = next_documents(keys.select("doc_id", "mark"))
-    needs = order.join(sizes, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select(
-        F.struct("doc_id", "mark").alias("of"), F.col("next.doc_id").alias("next_id"), F.col("next.mark").alias("next_mark"),
+    given_id = F.col(doc_id).cast("long")
+    rows = docs.select(given_id.alias("doc_id"), F.coalesce(given_id, F.lit(0)).alias("id"), body.alias("text"))
+    # (id, mark) tells documents apart and is never null, so that one dealing of rows serves all joins
+    rows = rows.withColumn("mark", F.xxhash64("text", F.col("doc_id").isNull()))
+    keys = rows.select("id", "mark", F.col("doc_id").isNull().alias("absent"), F.char_length("text").alias("n")).distinct()
+    needs = next_documents(stored(keys, "winnow-keys")).select(
+        F.col("id").alias("of_id"), F.col("mark").alias("of_mark"), F.col("next.id").alias("id"), F.col("next.mark").alias("mark"),
         F.floor(F.col("n") / 2).cast("int").alias("need"),
     )
     needs = stored(needs, "winnow-needs")
     # what a document needs of the next: its first characters and its hashes
-    given = rows.join(needs, F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("mark") == F.col("next_mark")))
-    given = with_marks(given.select("of", "need", "text"), "text", "next_marks").select(
-        F.col("of.doc_id").alias("of_id"), F.col("of.mark").alias("of_mark"),
+    given = rows.select("id", "mark", "text", "doc_id").join(needs, ["id", "mark"])
+    given = with_marks(given.select("of_id", "of_mark", "need", "text"), "text", "next_marks").select(
+        F.col("of_id").alias("id"), F.col("of_mark").alias("mark"),
         F.substring("text", F.lit(1), F.col("need")).alias("head"), hashes(F.col("next_marks")).alias("next_hashes"),
     )
-    given = given.groupBy("of_id", "of_mark").agg(F.first("head").alias("head"), F.first("next_hashes").alias("next_hashes"))
-    both = rows.join(given, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")))
+    given = given.groupBy("id", "mark").agg(F.first("head").alias("head"), F.first("next_hashes").alias("next_hashes"))
+    both = rows.select("id", "mark", "text", "doc_id").join(given, ["id", "mark"])
     n = F.char_length("text")
     both = both.select(
         "doc_id", n.cast("long").alias("n_chars"), "text", "next_hashes",
