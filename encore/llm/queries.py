@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from encore.llm import cgk, language, linedup, minhash, mixing, quality, sharding, toxicity, winnow
+from encore.llm import cgk, language, linedup, minhash, mixing, pii, quality, sharding, toxicity, winnow
 from encore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.identifier_rows(table(spark, sf_dir, "documents"))
+
+
 @query("op5_decontamination")
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cgk.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
