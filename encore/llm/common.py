@@ -30,6 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new folder below spark.checkpoint.dir and read it back: lineage ends there."""
+    ship_package(df.sparkSession)
     path = scratch_path(df.sparkSession, "llm", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -271,3 +271,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, doc_id: str = "doc
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def unique_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (columns doc_id and text among them) that are kept, one row for each doc_id, all columns.
+
+    Rows without doc_id stay as they are; of rows that repeat a doc_id the least stays.
+    """
+    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept and doc_id is not null").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
