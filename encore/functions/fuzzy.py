@@ -11,6 +11,7 @@ and only on candidate rows.
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,9 +36,17 @@ def ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
+    """Symmetric: of strings of one length, each is tried as the one inside the other."""
+    if not a and not b:
+        return 100.0
     if not a or not b:
         return 0.0
-    short, long_ = (a, b) if len(a) <= len(b) else (b, a)
+    if len(a) == len(b):
+        return max(_best_window(a, b), _best_window(b, a))
+    return _best_window(a, b) if len(a) < len(b) else _best_window(b, a)
+
+
+def _best_window(short: str, long_: str) -> float:
     m, n = len(short), len(long_)
     chars = set(short)
     best = 0.0
@@ -60,3 +69,10 @@ def partial_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
         [partial_ratio(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)],
         dtype="float64",
     )
+
+
+def partial_ratio_column(a: Column, b: Column) -> Column:
+    """Z1 as a column: a string that contains the other scores 100 in the JVM; only the others go to Python."""
+    inside = b.contains(a) | a.contains(b)
+    rest = partial_ratio_udf(F.when(~inside, a), F.when(~inside, b))
+    return F.when(inside, F.lit(100.0)).otherwise(rest)

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import calendar
 import datetime as dt
-import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -68,6 +67,12 @@ ISO_SHAPE = (
 )
 
 
+# Epoch seconds of the representable years, 1 to 9999: beyond them a number is no instant (so
+# milliseconds are rejected, not read as a far year).
+EPOCH_LEAST = float((dt.datetime(1, 1, 1) - dt.datetime(1970, 1, 1)).total_seconds())
+EPOCH_MOST = float((dt.datetime(9999, 12, 31, 23, 59, 59) - dt.datetime(1970, 1, 1)).total_seconds())
+
+
 def parse_timestamp(raw: Column, freeform: bool = False) -> Column:
     """text -> UTC instant, or null when nothing understands it.
 
@@ -82,7 +87,7 @@ def parse_timestamp(raw: Column, freeform: bool = False) -> Column:
     text = F.trim(raw.cast("string"))
     num = text.try_cast("double")
     epoch = F.when(
-        num.isNotNull() & ~F.isnan(num) & (F.abs(num) < F.lit(1e14)),
+        num.isNotNull() & ~F.isnan(num) & num.between(EPOCH_LEAST, EPOCH_MOST),
         F.timestamp_micros(F.round(num * F.lit(1_000_000)).cast("long")),
     )
     iso = F.when(text.rlike(ISO_SHAPE), text.try_cast("timestamp"))
@@ -113,49 +118,52 @@ def to_epoch_seconds(col: Column) -> Column:
 
 
 # ---------------------------------------------------------------- F9/F10 relative
-_AGO = re.compile(r"(\d+)\s+(day|week|month|year)s?\s+ago")
-_LAST = re.compile(r"last\s+(week|month|year)")
+# The accepted phrases. A unit is a number of months or of days.
+RELATIVE_UNITS = {"day": (0, 1), "week": (0, 7), "month": (1, 0), "year": (12, 0)}
+RELATIVE_DAYS = {"today": 0, "yesterday": 1}
+LAST_UNITS = ("week", "month", "year")
 
 
-def _add_months(t: dt.datetime, months: int) -> dt.datetime:
-    y, m = divmod(t.month - 1 + months, 12)
-    y += t.year
-    m += 1
-    day = min(t.day, calendar.monthrange(y, m)[1])
-    return t.replace(year=y, month=m, day=day)
+def _relative(text: str) -> tuple[int, int] | None:
+    """(months, days) back that a phrase names; None if it is none."""
+    words = text.split()
+    if len(words) >= 2 and words[0] == "last" and words[1] in LAST_UNITS:
+        return RELATIVE_UNITS[words[1]]
+    if len(words) >= 3 and words[0].isdecimal() and words[2] == "ago":
+        unit = RELATIVE_UNITS.get(words[1].removesuffix("s"))
+        if unit:
+            return tuple(int(words[0]) * x for x in unit)
+    return None
 
 
 def parse_relative_time(text: str, as_of: dt.datetime) -> dt.datetime | None:
-    """``today``, ``yesterday``, ``last week|month|year``, ``N units ago`` or a date.
+    """a phrase before ``as_of``, or a date; None when nothing parses.
 
-    Calendar-aware for months and years (month ends clamp). ``as_of`` is
-    explicit so results are reproducible. Returns None when nothing parses.
+    ``today`` and ``yesterday`` are midnights; months and years are calendar
+    ones, month ends clamp.
     """
-    s = text.strip().lower()
-    if s == "today":
-        return dt.datetime(as_of.year, as_of.month, as_of.day)
-    if s == "yesterday":
-        y = as_of - dt.timedelta(days=1)
-        return dt.datetime(y.year, y.month, y.day)
-    m = _LAST.match(s)
-    if m:
-        unit = m.group(1)
-        return {
-            "week": lambda: as_of - dt.timedelta(weeks=1),
-            "month": lambda: _add_months(as_of, -1),
-            "year": lambda: _add_months(as_of, -12),
-        }[unit]()
-    m = _AGO.match(s)
-    if m:
-        n, unit = int(m.group(1)), m.group(2)
-        if unit == "day":
-            return as_of - dt.timedelta(days=n)
-        if unit == "week":
-            return as_of - dt.timedelta(weeks=n)
-        if unit == "month":
-            return _add_months(as_of, -n)
-        return _add_months(as_of, -12 * n)
-    return _freeform_one(s)
+    phrase = text.strip().lower()
+    if phrase in RELATIVE_DAYS:
+        return dt.datetime.combine(as_of.date(), dt.time()) - dt.timedelta(days=RELATIVE_DAYS[phrase])
+    back = _relative(phrase)
+    if back is None:
+        return _freeform_one(phrase)
+    months, days = back
+    total = as_of.year * 12 + as_of.month - 1 - months
+    year, month = total // 12, total % 12 + 1
+    last = calendar.monthrange(year, month)[1]
+    return as_of.replace(year=year, month=month, day=min(as_of.day, last)) - dt.timedelta(days=days)
+
+
+def relative_column(ts: Column, text: str) -> Column:
+    """F9 column form: ``ts`` less the phrase (Spark's calendar interval clamps month ends too)."""
+    phrase = text.strip().lower()
+    if phrase in RELATIVE_DAYS:
+        return F.date_trunc("day", ts) - F.make_interval(days=F.lit(RELATIVE_DAYS[phrase]))
+    back = _relative(phrase)
+    if back is None:
+        raise ValueError(f"no relative time: {text}")
+    return ts - F.make_interval(months=F.lit(back[0]), days=F.lit(back[1]))
 
 
 # Period name -> days back.
@@ -170,8 +178,3 @@ def parse_period(period: str, as_of: dt.datetime):
     if p not in PERIOD_DAYS:
         raise ValueError(f"Unknown period: {period}")
     return as_of - dt.timedelta(days=PERIOD_DAYS[p]), as_of
-
-
-def relative_column(ts: Column, years=0, months=0, weeks=0, days=0) -> Column:
-    """F9 column form: ``ts - interval`` with calendar months (month-end clamp)."""
-    return ts - F.make_interval(F.lit(years), F.lit(months), F.lit(weeks), F.lit(days))

@@ -3,12 +3,12 @@
 Presets are DataFrame builders; the export options are DataFrame steps
 (``select`` for columns, ``limit`` always applied to the DataFrame, sampling
 by a seeded content hash *after* the limit, as the reference does). Writers
-use Spark's distributed sinks; a single JSON array document is produced only
-for results proven small by a checked row count.
+use Spark's distributed sinks, for a JSON array too (one element a line).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from encore.operators.catalogue import album_rollup
 from encore.operators.joins import track_dims
 from encore.schema import Snowflake
+from encore.session import scratch_path
 
 
 def export_plays(s: Snowflake) -> DataFrame:
@@ -129,39 +130,43 @@ def export(s: Snowflake, preset: str, **opts) -> DataFrame:
     return prepare_export(PRESETS[preset](s), **opts)
 
 
-def write_output(
-    df: DataFrame,
-    path: str,
-    fmt: str = "jsonl",
-    no_headers: bool = False,
-    max_array_rows: int = 100_000,
-) -> int:
+def _write_array(df: DataFrame, path: str) -> int:
+    """One JSON array over all part files of ``path``, in order: an element a line, brackets and commas around.
+
+    Rows are written out with their place first, so that "the first row" is the same for every
+    task; the sort by place is distributed, and no row is gathered anywhere.
+    """
+    spark = df.sparkSession
+    staged = scratch_path(spark, "exports", uuid.uuid4().hex)
+    element = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    df.select(element.alias("value"), F.monotonically_increasing_id().alias("place")).write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    count, first = rows.agg(F.count("*"), F.min("place")).first()
+    comma = F.when(F.col("place") == F.lit(first), F.lit("")).otherwise(F.lit(","))
+    lines = rows.select("place", F.concat(comma, "value").alias("value"))
+    ends = spark.createDataFrame([(-1, "["), (2**63 - 1, "]")], "place long, value string")
+    lines.unionByName(ends).orderBy("place").select("value").write.mode("overwrite").text(path)
+    return int(count)
+
+
+def write_output(df: DataFrame, path: str, fmt: str = "jsonl", no_headers: bool = False) -> int:
     """Write ``df`` to ``path`` in jsonl/json/csv/tsv; returns the row count.
 
-    The count comes from an ``observe`` metric of the write itself (no second
-    pass). ``json`` (one array document) is allowed only for results whose
-    checked row count is at most ``max_array_rows``.
+    The count comes from an ``observe`` metric of the write itself (no second pass). ``json`` is one
+    array document: the part files of ``path``, read in order.
     """
     from pyspark.sql import Observation
 
+    if fmt == "json":
+        return _write_array(df, path)
     obs = Observation("export")
     observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-    writer_df = observed
     if fmt == "jsonl":
-        writer_df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+        observed.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     elif fmt in ("csv", "tsv"):
-        writer_df.write.mode("overwrite").option("header", not no_headers).option(
+        observed.write.mode("overwrite").option("header", not no_headers).option(
             "sep", "," if fmt == "csv" else "\t"
         ).csv(path)
-    elif fmt == "json":
-        n = df.count()
-        if n > max_array_rows:
-            raise ValueError(f"json array output is limited to {max_array_rows} rows; use jsonl")
-        doc = df.select(
-            F.to_json(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])), {"ignoreNullFields": "false"}).alias("value")
-        ).select(F.coalesce("value", F.lit("[]")).alias("value"))
-        doc.write.mode("overwrite").text(path)
-        return n
     else:
         raise ValueError(f"Unknown format: {fmt}")
     return int(obs.get.get("rows", 0))

@@ -22,12 +22,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from encore.functions.records import parse_record_columns
 from encore.functions.timefn import freeform_timestamp
-from encore.session import scratch_path, spread
+from encore.session import scratch_path
 from encore.schema import Snowflake, conform
 from encore.sources.files import ORDER_COLS
 
@@ -118,6 +118,14 @@ class LoadPlan:
         cols = ["_line", "reject_reason"] if "_line" in errs.columns else ["reject_reason"]
         return errs.orderBy(*ORDER_COLS).limit(n).select(*ORDER_COLS, *cols)
 
+    def rejects(self) -> DataFrame:
+        """K8: every sampled record that could not be read, with its reason, file and place in it."""
+        errs = self.rows.filter(F.col("_status") == "error")
+        line = F.col("_line") if "_line" in errs.columns else F.lit(None).cast("long")
+        return errs.select(
+            F.col(ORDER_COLS[0]).alias("file"), line.alias("line"), F.col("reject_reason").alias("reason"), "raw_timestamp"
+        )
+
     def check_errors(self) -> None:
         """Abort mode: fail on the first bad record unless ``skip_errors``."""
         if self.options.skip_errors:
@@ -142,8 +150,6 @@ def _freeform_repair(rows: DataFrame) -> DataFrame:
         F.lit(False),
     )
     failed = rows.filter(bad)
-    if failed.isEmpty():  # cheap probe: no Python stage when every timestamp parsed natively
-        return rows
     fixes = failed.select("raw_timestamp").distinct().withColumn(
         "_fixed", freeform_timestamp(F.trim(F.col("raw_timestamp")))
     )
@@ -163,7 +169,6 @@ def plan_load(
 ) -> LoadPlan:
     """K4: the loader as a plan over ``records(fields map, parse_error, _file, _block, _pos)``."""
     options.validate()
-    records = spread(records)
     extra = [c for c in ("_line",) if c in records.columns]
     parsed_cols = parse_record_columns(F.col("fields"), id_mode=options.id_mode, freeform=False)
     reason = F.coalesce(F.col("parse_error"), parsed_cols.pop("reject_reason"))
@@ -189,23 +194,26 @@ def plan_load(
         rows = _freeform_repair(rows)
 
     valid = F.col("_sampled") & F.col("reject_reason").isNull()
-    # First occurrence of each key among valid records, in arrival order.
-    firsts = rows.filter(valid).groupBy(*KEY).agg(F.min(_arrival()).alias("_first"))
-    rows = rows.join(firsts, KEY, "left")
-    is_dup = F.col("_first").isNotNull() & (_arrival() != F.col("_first"))
-    if existing_plays is not None and options.no_duplicates:
-        seen = existing_plays.select(*KEY).distinct().withColumn("_exists", F.lit(True))
-        rows = rows.join(seen, KEY, "left")
-        is_dup = is_dup | F.coalesce(F.col("_exists"), F.lit(False))
-    elif existing_plays is not None:
-        rows = rows.withColumn("_exists", F.lit(False))
+    is_dup = F.lit(False)
+    if options.no_duplicates:
+        # First occurrence of each key among valid records, in arrival order. Other records have
+        # no key: they are set aside, so that none meets at a null.
+        keyed, others = rows.filter(valid), rows.filter(~valid)
+        first = F.min(_arrival()).over(Window.partitionBy(*KEY))
+        keyed = keyed.withColumn("_again", _arrival() != first)
+        if existing_plays is not None:
+            seen = existing_plays.select(*KEY).distinct().withColumn("_exists", F.lit(True))
+            keyed = keyed.join(seen, KEY, "left")
+            keyed = keyed.withColumn("_again", F.col("_again") | F.coalesce(F.col("_exists"), F.lit(False))).drop("_exists")
+        rows = keyed.unionByName(others.withColumn("_again", F.lit(False)))
+        is_dup = F.col("_again")
     status = (
         F.when(~F.col("_sampled"), F.lit("unsampled"))
         .when(F.col("reject_reason").isNotNull(), F.lit("error"))
-        .when(F.lit(options.no_duplicates) & is_dup, F.lit("duplicate"))
+        .when(is_dup, F.lit("duplicate"))
         .otherwise(F.lit("add"))
     )
-    rows = rows.withColumn("_status", status).drop("_first", "_exists")
+    rows = rows.withColumn("_status", status).drop("_again")
 
     if options.limit is not None:
         k = int(options.limit)

@@ -54,11 +54,21 @@ def _rollup(s: Snowflake, keys: list, since, until) -> DataFrame:
     per_track = plays.groupBy(*keys, "track_id").agg(F.count(F.lit(1)).alias("n"))
     joined = per_track.join(joined_track_keys(s), "track_id")
     key_names = [c for c in per_track.columns if c not in ("track_id", "n")]
-    return joined.groupBy(*key_names).agg(
+    return _up_the_hierarchy(joined, key_names)
+
+
+def _up_the_hierarchy(joined: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts per ``keys`` of rows unique by track: a track has one album and an album one artist,
+    so each level is a count of the rows of the level below, and no distinct count is needed."""
+    per_album = joined.groupBy(*keys, "artist_id", "album_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("tracks"))
+    per_artist = per_album.groupBy(*keys, "artist_id").agg(
+        F.sum("n").alias("n"), F.sum("tracks").alias("tracks"), F.count(F.lit(1)).alias("albums")
+    )
+    return per_artist.groupBy(*keys).agg(
         F.sum("n").alias("scrobbles"),
-        F.countDistinct("artist_id").alias("unique_artists"),
-        F.countDistinct("album_id").alias("unique_albums"),
-        F.count(F.lit(1)).alias("unique_tracks"),
+        F.count(F.lit(1)).alias("unique_artists"),
+        F.sum("albums").alias("unique_albums"),
+        F.sum("tracks").alias("unique_tracks"),
     )
 
 

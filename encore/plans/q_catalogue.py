@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from encore.operators import catalogue as cat
 from encore.plans.registry import register
+from encore.schema import Snowflake
 from encore.sources.tables import BINDING_A_SQL as A
 from encore.sources.tables import binding_a
 
@@ -156,13 +157,111 @@ def q_track_details(spark, sf_dir):
 
 @register(
     "track_plays",
+    A + 'SELECT track_id, "timestamp" FROM plays',
+)
+def q_track_plays(spark, sf_dir):
+    return cat.track_plays_all(binding_a(spark, sf_dir))
+
+
+@register(
+    "track_plays_newest",
     A
     + """
 SELECT track_id, "timestamp" FROM plays
-QUALIFY ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY "timestamp" DESC) <= 100""",
+QUALIFY ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY "timestamp" DESC) <= 5""",
 )
-def q_track_plays(spark, sf_dir):
-    return cat.track_plays_all(binding_a(spark, sf_dir), newest=100)
+def q_track_plays_newest(spark, sf_dir):
+    return cat.track_plays_all(binding_a(spark, sf_dir), newest=5)
+
+
+@register(
+    "album_show",
+    A
+    + """
+, per AS (SELECT t.id AS track_id, t.title AS track_title, t.album_id, COUNT(p."timestamp") AS play_count,
+                 MAX(p."timestamp") AS last_played
+          FROM tracks t LEFT JOIN plays p ON p.track_id = t.id GROUP BY t.id, t.title, t.album_id)
+SELECT per.album_id, al.title AS album_title,
+       CAST(SUM(play_count) OVER (PARTITION BY per.album_id) AS BIGINT) AS album_plays,
+       CAST(ROW_NUMBER() OVER (PARTITION BY per.album_id ORDER BY track_id) - 1 AS INTEGER) AS position,
+       track_id, track_title, play_count, last_played
+FROM per JOIN albums al ON per.album_id = al.id""",
+)
+def q_album_show(spark, sf_dir):
+    """The nested documents, exploded for comparison."""
+    from pyspark.sql import functions as F
+
+    docs = cat.album_show(binding_a(spark, sf_dir))
+    return docs.select(
+        "album_id", "album_title", F.col("play_count").alias("album_plays"), F.posexplode("tracks").alias("position", "t")
+    ).select("album_id", "album_title", "album_plays", "position", "t.*")
+
+
+@register(
+    "track_show",
+    A
+    + """
+SELECT t.id AS track_id, t.title AS track_title, COUNT(*) OVER (PARTITION BY t.id) AS play_count, p."timestamp" AS played_at
+FROM plays p JOIN tracks t ON p.track_id = t.id
+QUALIFY ROW_NUMBER() OVER (PARTITION BY t.id ORDER BY p."timestamp" DESC) <= 5""",
+)
+def q_track_show(spark, sf_dir):
+    """The nested documents with their 5 newest plays, exploded for comparison."""
+    from pyspark.sql import functions as F
+
+    docs = cat.track_show(binding_a(spark, sf_dir), newest=5)
+    return docs.select("track_id", "track_title", "play_count", F.explode("plays").alias("played_at"))
+
+
+# Bindings whose plays start late leave tracks unplayed: zero counts, null times and their placement.
+LATE = "1998-01-01"
+A_LATE = A.replace("FROM orders)", f"FROM orders WHERE o_orderdate >= TIMESTAMP '{LATE} 00:00:00')")
+
+
+def _played_since(s, since):
+    from pyspark.sql import functions as F
+
+    return Snowflake(s.artists, s.albums, s.tracks, s.plays.filter(F.col("timestamp") >= F.lit(since).cast("timestamp")))
+
+
+def _late_page(sort: str, order: str):
+    name = f"browse_unplayed_{sort.rsplit('_', 1)[1]}"
+
+    @register(
+        name,
+        A_LATE
+        + f"""
+SELECT ar.name AS artist_name, al.title AS album_title, t.title AS track_title,
+       COUNT(p."timestamp") AS play_count, MAX(p."timestamp") AS last_played,
+       t.id AS track_id, al.id AS album_id, ar.id AS artist_id
+{TRACK_LEFT}
+GROUP BY t.id, al.id, ar.id, ar.name, al.title, t.title
+ORDER BY {order}, t.id LIMIT 700""",
+    )
+    def q(spark, sf_dir):
+        s = _played_since(binding_a(spark, sf_dir), LATE)
+        return cat.browse_tracks(s, limit=700, sort_by=sort)
+
+    return q
+
+
+_late_page("last_played_desc", "last_played DESC NULLS LAST")
+_late_page("last_played_asc", "last_played ASC NULLS FIRST")
+
+
+@register(
+    "album_fields",
+    A
+    + """
+SELECT COUNT(p."timestamp") AS play_count, al.title AS album_title
+FROM albums al JOIN artists ar ON al.artist_id = ar.id LEFT JOIN tracks t ON t.album_id = al.id
+LEFT JOIN plays p ON p.track_id = t.id GROUP BY al.id, al.title""",
+)
+def q_album_fields(spark, sf_dir):
+    """Two fields by their aliases, an unknown one dropped."""
+    from encore.operators.output import ALBUM_FIELDS, select_fields
+
+    return select_fields(cat.album_details_all(binding_a(spark, sf_dir)), ["plays", "no_such_field", "album"], ALBUM_FIELDS)
 
 
 @register(

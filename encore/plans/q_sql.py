@@ -94,7 +94,13 @@ def q_table_rows(spark, sf_dir):
     )
 
 
-@register("files_query")
+@register(
+    "files_query",
+    A
+    + """
+SELECT ar.name AS artist_name, COUNT(*) AS tracks
+FROM tracks t JOIN albums al ON t.album_id = al.id JOIN artists ar ON al.artist_id = ar.id GROUP BY ar.name""",
+)
 def q_files_query(spark, sf_dir):
     """Q35 over files Spark derives from the driver tables: the track catalogue
     is exported as CSV to the shared scratch folder, then queried with SQL."""
@@ -111,3 +117,22 @@ def q_files_query(spark, sf_dir):
         "SELECT artist_name, COUNT(*) AS tracks FROM " + path.rsplit("/", 1)[-1].split(".")[0].replace("-", "_")
         + " GROUP BY artist_name",
     )
+
+
+@register(
+    "sql_arrays",
+    A
+    + """
+SELECT '[' || to_json(t.id) || ',' || to_json(t.title) || ',' || CAST(COUNT(p."timestamp") AS VARCHAR) || ']' AS value
+FROM tracks t LEFT JOIN plays p ON p.track_id = t.id GROUP BY t.id, t.title""",
+)
+def q_sql_arrays(spark, sf_dir):
+    """A SQL result as JSON arrays, one a line."""
+    from encore.operators.output import as_lines
+
+    adhoc.register_snowflake(binding_a(spark, sf_dir))
+    rows = adhoc.sql_query(
+        spark,
+        "SELECT t.id, t.title, COUNT(p.timestamp) AS plays FROM tracks t LEFT JOIN plays p ON p.track_id = t.id GROUP BY t.id, t.title",
+    )
+    return as_lines(rows, "arrays")

@@ -95,14 +95,15 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names a shared (distributed) folder there; it is read from the
-    session. Only when it is unset -- local tests -- a private folder is
-    created so ``DataFrame.checkpoint()`` and written tables have a home.
+    A cluster must name one: a folder of the driver's machine is not the
+    executors'. Only a local master without one gets a private folder.
     """
     global _LOCAL_CKPT
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if _LOCAL_CKPT is None:
             _LOCAL_CKPT = tempfile.mkdtemp(prefix="encore-ckpt-")
         path = _LOCAL_CKPT
@@ -114,16 +115,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for written tables)."""
     return os.path.join(checkpoint_dir(spark), *parts)
-
-
-def spread(df):
-    """Round-robin an under-partitioned input across the available cores.
-
-    Only for CPU-heavy per-row stages (record parsing, tokenising). A large
-    input already arrives in many splits and is returned unchanged, so no
-    shuffle is added at scale.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)

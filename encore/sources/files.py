@@ -39,12 +39,8 @@ def with_line_numbers(df: DataFrame) -> DataFrame:
     ).drop("_first", "_n", "_before")
 
 
-def read_jsonl(spark: SparkSession, path: str, line_numbers: bool = True) -> DataFrame:
-    """One JSON object per line; blank lines skipped; others flagged."""
-    text = _with_order(spark.read.text(path))
-    if line_numbers:
-        text = with_line_numbers(text)
-    text = text.filter(F.length(F.trim("value")) > 0)
+def parse_json_lines(text: DataFrame) -> DataFrame:
+    """Lines (column ``value``) as ``fields`` and ``parse_error``, other columns kept; blank lines skipped."""
     fields = F.from_json("value", "map<string,string>")
     variant = F.try_parse_json("value")
     kind = F.schema_of_variant(variant)
@@ -53,9 +49,16 @@ def read_jsonl(spark: SparkSession, path: str, line_numbers: bool = True) -> Dat
         .when(variant.isNull(), F.lit("Invalid JSON"))
         .otherwise(F.concat(F.lit("Expected JSON object, got "), F.lower(F.split(kind, "<")[0])))
     )
-    return text.select(fields.alias("fields"), error.alias("parse_error"), *ORDER_COLS, *(
-        ["_line"] if line_numbers else []
-    ))
+    lines = text.filter(F.length(F.trim("value")) > 0)
+    return lines.select(fields.alias("fields"), error.alias("parse_error"), *[c for c in text.columns if c != "value"])
+
+
+def read_jsonl(spark: SparkSession, path: str, line_numbers: bool = True) -> DataFrame:
+    """One JSON object per line; blank lines skipped; others flagged."""
+    text = _with_order(spark.read.text(path))
+    if line_numbers:
+        text = with_line_numbers(text)
+    return parse_json_lines(text).select("fields", "parse_error", *ORDER_COLS, *(["_line"] if line_numbers else []))
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:

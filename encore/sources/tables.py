@@ -30,16 +30,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_snowflake_dir(spark: SparkSession, root: str) -> Snowflake:
     """Read a stored snowflake; an absent table reads as empty."""
+    from encore.operators.store import read_if_present
+
     parts = {}
     for name in ("artists", "albums", "tracks", "plays"):
-        path = os.path.join(root, name)
-        if os.path.exists(path) or "://" in root:
-            try:
-                parts[name] = spark.read.parquet(path)
-                continue
-            except Exception:  # noqa: BLE001 - absent table tolerated
-                pass
-        parts[name] = empty_table(spark, name)
+        found = read_if_present(spark, os.path.join(root, name))
+        parts[name] = empty_table(spark, name) if found is None else found
     return Snowflake(**parts)
 
 

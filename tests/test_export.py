@@ -1,5 +1,6 @@
 """FX3: export presets, options and writers."""
 
+import json
 import os
 import tempfile
 
@@ -36,4 +37,9 @@ def test_writers(fx3, spark):
     body = "".join(open(os.path.join(out, "nohdr", f)).read() for f in os.listdir(os.path.join(out, "nohdr")) if f.endswith(".csv"))
     assert "id\ttitle" not in body and len(body.splitlines()) == 3
     assert ex.write_output(ex.export(fx3, "plays"), os.path.join(out, "arr"), fmt="json") == 3
+    for rows in (ex.export(fx3, "plays"), ex.export(fx3, "plays").limit(0)):
+        ex.write_output(rows, os.path.join(out, "doc"), fmt="json")
+        parts = sorted(p for p in os.listdir(os.path.join(out, "doc")) if p.startswith("part-"))
+        text = "".join(open(os.path.join(out, "doc", p)).read() for p in parts)
+        assert [r["track_id"] for r in json.loads(text)] == [r.track_id for r in rows.collect()]
     assert "Physical Plan" in ex.dry_run(ex.export(fx3, "plays"))

@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from encore.functions.records import normalize_field_name, parse_records
+from encore.functions.records import parse_records
 from encore.operators.ingest import LoadOptions, plan_load, records_from_columns
 from encore.sources.files import detect_format, read_history_xml, read_jsonl, read_records
 
@@ -45,20 +45,24 @@ def test_timestamps(spark):
     assert parse_one(spark, {"timestamp": "2024-01-15", "artist": "a", "track": "t"}).timestamp == dt.datetime(2024, 1, 15)
     assert parse_one(spark, {"timestamp": "2024-01-15T14:30:00-05:00", "artist": "a", "track": "t"}).timestamp == dt.datetime(2024, 1, 15, 19, 30)
     assert parse_one(spark, {"timestamp": "20240115", "artist": "a", "track": "t"}).timestamp.year == 1970
+    # milliseconds lie beyond the representable years
+    assert parse_one(spark, {"timestamp": "1705329000000", "artist": "a", "track": "t"}).reject_reason.startswith("Invalid timestamp")
     bad = parse_one(spark, {"timestamp": "not-a-date", "artist": "a", "track": "t"})
     assert bad.timestamp is None and bad.reject_reason.startswith("Invalid timestamp")
 
 
 def test_field_names_and_detection():
-    assert normalize_field_name(" TIMESTAMP ") == "timestamp"
-    assert normalize_field_name("Track_Title") == "track"
-    assert normalize_field_name("other") == "other"
     assert detect_format('{"a": 1}') == "jsonl"
     assert detect_format("a,b,c") == "csv"
     assert detect_format("a\tb") == "tsv"
     assert detect_format("plain") == "jsonl"
 
 
+def test_aliases(spark):
+    row = parse_one(spark, {" Played_At ": "2024-01-15", "ArtistName": "a", "SONG": "t", "album_name": "b", "other": "x"})
+    assert (row.artist_name, row.album_title, row.track_title, row.reject_reason) == ("a", "b", "t", None)
+
+
 def test_sources(spark):
     d = tempfile.mkdtemp(prefix="encore-src-")
     with open(os.path.join(d, "a.jsonl"), "w") as f:

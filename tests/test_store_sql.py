@@ -52,6 +52,83 @@ def test_stream_replay(spark):
     assert resume_since(store) == dt.datetime(2024, 1, 12, 10, 3)
 
 
+def test_failed_read_aborts_commit(spark):
+    """A table that cannot be read is not an empty table."""
+    root = tempfile.mkdtemp(prefix="encore-store-")
+    store = SnowflakeStore(spark, root)
+    store.commit(batch(spark))
+    month = os.path.join(root, "plays", "month=2024-01")
+    with open(os.path.join(month, "part-broken.parquet"), "wb") as f:
+        f.write(b"not parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer|read"):
+        store.commit(batch(spark, "Other"))
+    os.remove(os.path.join(month, "part-broken.parquet"))
+    assert store.read().plays.count() == 1
+
+
+def test_scheme_root_and_pruned_months(spark):
+    root = "file:" + tempfile.mkdtemp(prefix="encore-store-")
+    store = SnowflakeStore(spark, root)
+    for _ in range(2):
+        store.commit(batch(spark, plays=(("2024-01-15T14:30:00", "t1"), ("2023-06-01T00:00:00", "t1"))))
+    assert store.read().plays.count() == 2
+    plan = store.read_plays(["2024-01"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "2024-01" in plan.split("PartitionFilters")[1]
+
+
+def test_rejects_and_late_plays(spark):
+    from encore.operators.stats import monthly_rollup
+    from encore.streaming.ingest import live_monthly_rollup, read_monthly_rollup, start_ingest
+
+    d = tempfile.mkdtemp(prefix="encore-late-")
+    store = SnowflakeStore(spark, f"{d}/store")
+    drops = [
+        [(f"2024-01-{day:02d}", "A", f"T{day}") for day in range(1, 32)],
+        [("2023-06-05", "B", "T1"), ("2024-01-31", "C", "T2"), ("2024-01-01", "A", "T1")],
+    ]
+    for i, rows in enumerate(drops):
+        os.makedirs(f"{d}/in{i}")
+        with open(f"{d}/in{i}/a.jsonl", "w") as f:
+            f.writelines(f'{{"timestamp": "{t}", "artist": "{a}", "track": "{k}"}}\n' for t, a, k in rows)
+            f.write("{broken\n")
+        start_ingest(spark, f"{d}/in{i}", store.root, f"{d}/ck{i}", on_batch=live_monthly_rollup(store, f"{d}/rollup")).awaitTermination()
+    key = lambda df: sorted(tuple(r) for r in df.select("year", "month", "scrobbles", "unique_artists", "unique_tracks").collect())
+    assert key(read_monthly_rollup(spark, f"{d}/rollup")) == key(monthly_rollup(store.read())) == [(2023, 6, 1, 1, 1), (2024, 1, 32, 2, 32)]
+    rejects = store.read_rejects().collect()
+    assert len(rejects) == 2 and {r.reason for r in rejects} == {"Invalid JSON"}
+
+
+def test_bounded_replay(spark):
+    from encore.streaming.ingest import start_ingest
+
+    d = tempfile.mkdtemp(prefix="encore-range-")
+    os.makedirs(f"{d}/in")
+    with open(f"{d}/in/a.jsonl", "w") as f:
+        f.writelines(f'{{"timestamp": "2024-01-{day:02d}", "artist": "A", "track": "T"}}\n' for day in range(1, 11))
+    start_ingest(
+        spark, f"{d}/in", f"{d}/store", f"{d}/ck", since=dt.datetime(2024, 1, 3), until=dt.datetime(2024, 1, 5)
+    ).awaitTermination()
+    assert SnowflakeStore(spark, f"{d}/store").read().plays.count() == 3
+
+
+def test_save_and_shapes(spark):
+    import json
+
+    from encore.operators.output import ARTIST_FIELDS, as_lines, select_fields
+    from encore.operators.store import read_if_present, save_table
+
+    path = tempfile.mkdtemp(prefix="encore-save-") + "/t"
+    assert read_if_present(spark, path) is None
+    df = spark.createDataFrame([(1, 'x"y', '{"k": [1, 2]}'), (2, None, "{bad")], "artist_id int, artist_name string, j string")
+    save_table(df, path)
+    df = read_if_present(spark, path).orderBy("artist_id")
+    assert [json.loads(r.value) for r in as_lines(df, "arrays").collect()] == [[1, 'x"y', '{"k": [1, 2]}'], [2, None, "{bad"]]
+    objects = [json.loads(r.value) for r in as_lines(df, json_cols=True).collect()]
+    assert objects == [{"artist_id": 1, "artist_name": 'x"y', "j": {"k": [1, 2]}}, {"artist_id": 2, "artist_name": None, "j": "{bad"}]
+    assert [r.value for r in as_lines(df, "raw_lines").collect()] == ["1", "2"] and as_lines(df, "raw").count() == 1
+    assert select_fields(df, ["artist", "nothing", "id"], ARTIST_FIELDS).columns == ["artist_name", "artist_id"]
+
+
 def test_sql_and_rows(fx3, spark):
     adhoc.register_snowflake(fx3, prefix="fx3_")
     r = adhoc.sql_query(spark, "SELECT COUNT(*) AS n FROM fx3_plays WHERE timestamp > :d",
