@@ -101,7 +101,7 @@ def next_documents(keys: DataFrame) -> DataFrame:
         F.col("range").alias("r"), F.coalesce(F.lead("first").over(ranges), F.first("first").over(ranges)).alias("after")
     )
     joined = led.join(follow, F.col("range") == F.col("r"))
-    return joined.select("id", "mark", "n", F.coalesce("next", "after").alias("next"))
+    return joined.select("id", "mark", "absent", "n", F.coalesce("next", "after").alias("next"))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,17 +127,19 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     keys = rows.select("id", "mark", F.col("doc_id").isNull().alias("absent"), F.char_length("text").alias("n")).distinct()
     needs = next_documents(stored(keys, "winnow-keys")).select(
         F.col("id").alias("of_id"), F.col("mark").alias("of_mark"), F.col("next.id").alias("id"), F.col("next.mark").alias("mark"),
-        F.floor(F.col("n") / 2).cast("int").alias("need"),
+        F.floor(F.col("n") / 2).cast("int").alias("need"), F.when(~F.col("absent"), F.col("id")).alias("of_doc"),
     )
     needs = stored(needs, "winnow-needs")
     # what a document needs of the next: its first characters and its hashes
-    given = rows.select("id", "mark", "text", "doc_id").join(needs, ["id", "mark"])
-    given = with_marks(given.select("of_id", "of_mark", "need", "text"), "text", "next_marks").select(
-        F.col("of_id").alias("id"), F.col("of_mark").alias("mark"),
+    # (both joins read the same columns of the rows, so that these are dealt out once)
+    texts = rows.select("id", "mark", "text")
+    given = texts.join(needs, ["id", "mark"])
+    given = with_marks(given.select("of_id", "of_mark", "of_doc", "need", "text"), "text", "next_marks").select(
+        F.col("of_id").alias("id"), F.col("of_mark").alias("mark"), F.col("of_doc").alias("doc_id"),
         F.substring("text", F.lit(1), F.col("need")).alias("head"), hashes(F.col("next_marks")).alias("next_hashes"),
     )
-    given = given.groupBy("id", "mark").agg(F.first("head").alias("head"), F.first("next_hashes").alias("next_hashes"))
-    both = rows.select("id", "mark", "text", "doc_id").join(given, ["id", "mark"])
+    given = given.groupBy("id", "mark").agg(*[F.first(c).alias(c) for c in ("doc_id", "head", "next_hashes")])
+    both = texts.join(given, ["id", "mark"])
     n = F.char_length("text")
     both = both.select(
         "doc_id", n.cast("long").alias("n_chars"), "text", "next_hashes",
