@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encore.llm.common import bucket, running_start
+from encore.llm.common import bucket, running_start, stored
 
 #: Weight of the rows that one side of a block holds, about.
 BLOCK_WEIGHT = 500_000
@@ -17,26 +17,29 @@ BLOCK_WEIGHT = 500_000
 Compare = Callable[[pa.RecordBatch, pa.RecordBatch], pa.RecordBatch]
 
 
-def compare_blocks(left: DataFrame, right: DataFrame, group: str, weight: str, compare: Compare, schema: str) -> DataFrame:
+def compare_blocks(left: DataFrame, right: DataFrame, payload: DataFrame, group: str, weight: str, compare: Compare, schema: str) -> DataFrame:
     """``compare`` on every block of left rows with every block of right rows of the same group.
 
-    Both sides have the same columns, among them ``group``, ``node`` and ``weight`` (not null). A
-    group is cut into blocks of BLOCK_WEIGHT, and a row goes to as many blocks as the other side
-    has, so a hot group is spread over tasks and a task holds two blocks at a time. Only what
-    ``compare`` returns goes on.
+    Both sides have the same few columns, among them ``group``, ``node`` and ``weight`` (not null);
+    ``payload`` (node, items) is joined to them when the blocks are dealt out. A group is cut into
+    blocks of BLOCK_WEIGHT, and a row goes to as many blocks as the other side has, so a hot group
+    is spread over tasks and a task holds two blocks at a time. Only what ``compare`` returns goes
+    on.
     """
     sides = []
     for side, rows in enumerate((left, right)):
-        cut = running_start(rows.withColumn("_bucket", bucket(64, F.col("node"))), [group], "_bucket", ["node"], weight, "_start")
-        cut = cut.withColumn("_block", F.floor(F.col("_start") / BLOCK_WEIGHT).cast("int")).drop("_bucket", "_start")
-        sides.append(cut.withColumn("_side", F.lit(side)))
+        rows = stored(rows.withColumn("_bucket", bucket(64, F.col("node"))), "blocks-rows")
+        cut = running_start(rows, [group], "_bucket", ["node"], weight, "_start")
+        cut = cut.withColumn("_block", F.floor(F.col("_start") / BLOCK_WEIGHT).cast("int")).drop("_bucket", "_start", weight)
+        sides.append(stored(cut.withColumn("_side", F.lit(side)), "blocks-cut"))
     parts = []
     for mine, other, names in ((sides[0], sides[1], ("_l", "_r")), (sides[1], sides[0], ("_r", "_l"))):
         blocks = other.groupBy(F.col(group).alias("_group")).agg(F.max("_block").alias("_blocks"))
         met = mine.join(blocks, F.col(group) == F.col("_group")).withColumnRenamed("_block", names[0])
         parts.append(met.withColumn(names[1], F.explode(F.sequence(F.lit(0), "_blocks"))).drop("_group", "_blocks"))
+    met = stored(parts[0].unionByName(parts[1]), "blocks-met").join(payload.hint("merge"), "node")
     key = [group, "_l", "_r"]
-    dealt = parts[0].unionByName(parts[1]).repartition(*key).sortWithinPartitions(*key, "_side")
+    dealt = met.repartition(*key).sortWithinPartitions(*key, "_side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

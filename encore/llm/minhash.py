@@ -130,7 +130,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _near_nodes(least: float):
-    """For compare_blocks, on signatures: the (lead, node, side) with a partner of another group at ``least`` or more."""
+    """For compare_blocks, on signatures: the (lead, node, own, side) with a partner of another group at ``least`` or more."""
     chance = 1.0 / 2**BITS
     most_unlike = PERMUTATIONS * (1 - (least * (1 - chance) + chance))
     ones = np.uint64(sum(1 << (BITS * k) for k in range(64 // BITS)))
@@ -151,9 +151,10 @@ def _near_nodes(least: float):
             hit_x[at : at + 64] |= near.any(axis=1)
             hit_y |= near.any(axis=0)
         node = np.concatenate([left.column("node").to_numpy()[hit_x], right.column("node").to_numpy()[hit_y]])
+        own = np.concatenate([own_x[hit_x], own_y[hit_y]])
         side = np.repeat(np.array([0, 1], np.int32), [hit_x.sum(), hit_y.sum()])
         lead = np.full(len(node), left.column("lead")[0].as_py(), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(lead), pa.array(node), pa.array(side)], names=["lead", "node", "side"])
+        return pa.RecordBatch.from_arrays([pa.array(lead), pa.array(node), pa.array(own), pa.array(side)], names=["lead", "node", "own", "side"])
 
     return compare
 
@@ -238,30 +239,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, doc_id: str = "doc
     crowd = outside.groupBy("lead").agg(F.count("*").alias("n")).join(
         group.groupBy(F.col("component").alias("lead")).agg(F.count("*").alias("m")).hint("merge"), "lead", "left"
     ).filter("n > 1 or m > 1").select("lead")
-    left = outside.join(crowd.hint("merge"), "lead", "left_semi")
-    inside = group.select(F.col("component").alias("lead"), "node", F.col("component").alias("own"))
+    left = stored(outside.join(crowd.hint("merge"), "lead", "left_semi").withColumn("weight", F.lit(BLOCK_WEIGHT // 4000)), "minhash-left")
+    inside = group.select(F.col("component").alias("lead"), "node", F.col("component").alias("own"), F.lit(BLOCK_WEIGHT // 4000).alias("weight"))
     right = left.unionByName(inside.join(left.select("lead").distinct().hint("merge"), "lead", "left_semi"))
-
-    def described(nodes: DataFrame, items: DataFrame, weight: Column) -> DataFrame:
-        return nodes.join(items.withColumnsRenamed({"sig": "items"}).hint("merge"), "node").withColumn("weight", weight)
-
-    each = F.lit(BLOCK_WEIGHT // 4000)
     near = compare_blocks(
-        described(left, sig, each), described(right, sig, each), "lead", "weight", _near_nodes(threshold - MARGIN), "lead long, node long, side int"
+        left, right, sig.withColumnRenamed("sig", "items"), "lead", "weight", _near_nodes(threshold - MARGIN),
+        "lead long, node long, own long, side int",
     )
-    near = stored(near.distinct(), "minhash-near")
-    sets = _full_sets(near.select("node"), rows)
-    members = F.size("items").cast("int")
+    size = classes.groupBy("node").agg(F.max("n_shingles").cast("int").alias("weight"))
+    near = stored(near.distinct().join(size.hint("merge"), "node"), "minhash-near")
     more = compare_blocks(
-        described(left.join(near.filter("side = 0").select("lead", "node").hint("merge"), ["lead", "node"], "left_semi"), sets, members),
-        described(right.join(near.filter("side = 1").select("lead", "node").hint("merge"), ["lead", "node"], "left_semi"), sets, members),
+        near.filter("side = 0").drop("side"), near.filter("side = 1").drop("side"), _full_sets(near.select("node"), rows),
         "lead", "weight", _alike_pairs(threshold), "a long, b long",
     )
     # a doc_id with rows in several classes ties these together
     key = F.struct("k1", "k2", "n_shingles")
     several = used.groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo <> hi").select("doc_id")
     tied = used.join(several, "doc_id").join(classes.select("k1", "k2", "n_shingles", "node"), ["k1", "k2", "n_shingles"])
-    links = links.union(more).union(tied.select("doc_id", "node"))
+    links = links.union(stored(more, "minhash-more")).union(tied.select("doc_id", "node"))
     final = components(links)
 
     named = classes.select("k1", "k2", "n_shingles", "node").join(final, "node", "left")
