@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from encore.operators import textindex as ti
 from encore.plans.registry import register
+from encore.schema import Snowflake
+from encore.session import scratch_path
 from encore.sources.tables import BINDING_A_SQL as A
 from encore.sources.tables import binding_a, read_table
 
@@ -62,7 +68,58 @@ GROUP BY d.track_id, d.track_title, d.album_id, d.album_title, d.artist_id, d.ar
 ORDER BY rank, play_count DESC, track_id""",
 )
 def q_search_tracks(spark, sf_dir):
-    return ti.search_tracks(binding_a(spark, sf_dir), "europe 0000001*")
+    """On a stored index: the search reads its terms' postings only."""
+    s = binding_a(spark, sf_dir)
+    index = ti.index_tracks(s).write(scratch_path(spark, "indexes", uuid.uuid4().hex))
+    return ti.search_tracks(s, ti.all_of(ti.term("europe"), ti.term("0000001", prefix=True)), index=index)
+
+
+@register(
+    "index_postings",
+    A + DOCS_SQL + f", post AS ({_postings_sql('docs', ti.TRACK_COLUMNS)}) SELECT col, token, COUNT(*) AS n FROM post GROUP BY col, token",
+)
+def q_index_postings(spark, sf_dir):
+    """The stored postings, counted by column and token."""
+    index = ti.index_tracks(binding_a(spark, sf_dir)).write(scratch_path(spark, "indexes", uuid.uuid4().hex))
+    return index.postings.groupBy("col", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("index_refresh", A + """
+, renamed AS (SELECT id, CASE WHEN id = '2' THEN 'Renamed Région' ELSE name END AS name FROM artists),
+docs AS (SELECT t.id AS doc_id, ar.name AS artist_name, al.title AS album_title, t.title AS track_title
+         FROM tracks t JOIN albums al ON t.album_id = al.id JOIN renamed ar ON al.artist_id = ar.id
+         WHERE CAST(t.id AS INTEGER) % 10 <> 0)""" + f", post AS ({_postings_sql('docs', ti.TRACK_COLUMNS)}) SELECT col, token, COUNT(*) AS n FROM post GROUP BY col, token")
+def q_index_refresh(spark, sf_dir):
+    """T5: an artist renamed and tracks deleted; the changed documents are derived, only they are indexed anew."""
+    s = binding_a(spark, sf_dir)
+    old = ti.index_tracks(s).write(scratch_path(spark, "indexes", uuid.uuid4().hex))
+    named = s.artists.withColumn("name", F.when(F.col("id") == "2", F.lit("Renamed Région")).otherwise(F.col("name")))
+    new = Snowflake(named, s.albums, s.tracks.filter(F.col("id").cast("int") % 10 != 0), s.plays)
+    fresh = ti.refresh_index(old, new)
+    return fresh.postings.groupBy("col", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+# (token, begins so) of each term; an OR of two ANDs, less a phrase
+TREE_SQL = """
+, post AS (SELECT doc_id, unnest(list_transform(toks, lambda x, i: {'token': x, 'pos': i}), recursive := true)
+           FROM (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+') AS toks FROM d)),
+has AS (SELECT doc_id, COUNT_IF(token = 'les') AS les, COUNT_IF(token = 'avec') AS avec, COUNT_IF(token = 'und') AS und,
+               COUNT_IF(starts_with(token, 'heit')) AS heit FROM post GROUP BY doc_id),
+phrase AS (SELECT DISTINCT a.doc_id FROM post a JOIN post b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1
+           WHERE a.token = 'la' AND b.token = 'de')
+SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM has
+WHERE ((les > 0 AND avec > 0) OR (und > 0 AND heit > 0)) AND doc_id NOT IN (SELECT doc_id FROM phrase)"""
+
+
+@register("search_tree", "WITH d AS (SELECT doc_id, text FROM documents)" + TREE_SQL)
+def q_search_tree(spark, sf_dir):
+    """AND inside OR, a prefix, and a phrase excluded, on a stored index."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = ti.index_documents(docs, "doc_id", ["text"]).write(scratch_path(spark, "indexes", uuid.uuid4().hex))
+    either = ti.any_of(
+        ti.all_of(ti.term("les"), ti.term("avec")), ti.all_of(ti.term("und"), ti.term("heit", prefix=True))
+    )
+    return ti.search(index, ti.all_of(either, ti.Not(ti.term("la de")))).select("doc_id")
 
 
 @register("index_count", A + DOCS_SQL + "SELECT COUNT(*) AS indexed FROM docs")
@@ -85,7 +142,9 @@ LIMIT 20""",
 )
 def q_table_search(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select(*DOC_COLS)
-    return ti.table_search(docs, "doc_id", ["text"], "les mentre*", limit=20, columns=DOC_COLS)
+    index = ti.index_documents(docs, "doc_id", ["text"]).write(scratch_path(spark, "indexes", uuid.uuid4().hex))
+    query = ti.all_of(ti.term("les"), ti.term("mentre", prefix=True))
+    return ti.table_search(docs, "doc_id", ["text"], query, limit=20, columns=DOC_COLS, index=index)
 
 
 @register("artists_search")
