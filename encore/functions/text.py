@@ -30,9 +30,3 @@ def contains_ci(column: Column | str, query: str) -> Column:
 def any_contains_ci(columns: list[Column | str], query: str) -> Column:
     """OR of substring matches over several columns (browse filter)."""
     return reduce(lambda a, b: a | b, [contains_ci(c, query) for c in columns])
-
-
-def clean_text(column: Column) -> Column:
-    """Trimmed text, null when blank."""
-    trimmed = F.trim(column)
-    return F.when(F.length(trimmed) > 0, trimmed)

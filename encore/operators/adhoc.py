@@ -107,6 +107,8 @@ def load_files(
         if flatten:
             df = flatten_struct(df)
         name = re.sub(r"\W", "_", stem)
+        if name in views:
+            raise ValueError(f"two files would both be the table {name}")
         df.createOrReplaceTempView(name)
         views[name] = df
     return views

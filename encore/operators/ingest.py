@@ -20,7 +20,7 @@ task. :class:`SnowflakeStore` applies them (K1/K2).
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -244,6 +244,11 @@ def plan_load(
     return LoadPlan(rows=rows, added=added, options=options)
 
 
+def dry_run(records: DataFrame, options: LoadOptions = LoadOptions(), existing_plays: DataFrame | None = None) -> DataFrame:
+    """K9: the summary that a load would have; nothing is written, not even the parsed records."""
+    return plan_load(records, replace(options, materialize=False), existing_plays).summary()
+
+
 def records_from_columns(df: DataFrame, order_cols: list[str], fields: dict[str, Column]) -> DataFrame:
     """Shape a DataFrame of columns as import records (text map + arrival order)."""
     pairs = []

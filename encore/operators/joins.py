@@ -63,9 +63,3 @@ def joined_track_keys(s: Snowflake) -> DataFrame:
     al = s.albums.select(F.col("id").alias("album_id"), "artist_id")
     ar = s.artists.select(F.col("id").alias("artist_id"))
     return t.join(al, "album_id").join(ar, "artist_id", "left_semi")
-
-
-def chain_plays(s: Snowflake, since=None, until=None) -> DataFrame:
-    """J1 at play grain: every play with its names and ids (no aggregation)."""
-    plays = time_range(s.plays, since, until)
-    return plays.join(track_dims(s), "track_id")

@@ -4,8 +4,7 @@ Plan shape shared by all of them: filter plays by time (pushed into the
 scan), aggregate plays to one row per ``(group keys, track_id)`` with partial
 (map-side) aggregation, *then* join the reduced rows to the dimensions, then
 roll up. Distinct counts over tracks become plain counts because rows are
-already unique per track; the remaining ``countDistinct`` run on the reduced
-rows.
+already unique per track, and those over albums and artists counts level by level.
 """
 
 from __future__ import annotations
@@ -158,10 +157,16 @@ def artist_rollup(s: Snowflake, since=None, until=None) -> DataFrame:
     """Per artist: plays, distinct tracks/albums, first/last play (inner chain)."""
     per_track = track_play_stats(time_range(s.plays, since, until))
     joined = per_track.join(joined_track_keys(s), "track_id")
-    agg = joined.groupBy("artist_id").agg(
+    per_album = joined.groupBy("artist_id", "album_id").agg(
         F.sum("play_count").alias("play_count"),
         F.count(F.lit(1)).alias("track_count"),
-        F.countDistinct("album_id").alias("album_count"),
+        F.min("first_played").alias("first_played"),
+        F.max("last_played").alias("last_played"),
+    )
+    agg = per_album.groupBy("artist_id").agg(
+        F.sum("play_count").alias("play_count"),
+        F.sum("track_count").alias("track_count"),
+        F.count(F.lit(1)).alias("album_count"),
         F.min("first_played").alias("first_played"),
         F.max("last_played").alias("last_played"),
     )
@@ -198,6 +203,13 @@ def artists_with_stats(
 
 
 # ---------------------------------------------------------------- Q10/Q11 top-N
+def _ranked(limit: int) -> int:
+    """A ranked list has a length: its rows are numbered in one task."""
+    if limit is None or limit < 1:
+        raise ValueError("limit must be a positive integer")
+    return int(limit)
+
+
 def _days_in_range(plays_in_range: DataFrame, since, until, as_of) -> "F.Column":
     """The day count behind ``avg_plays_per_day`` (whole days, 0 -> 1)."""
 
@@ -245,7 +257,7 @@ def top_artists(
         .join(s.artists.select(F.col("id").alias("artist_id"), F.col("name").alias("artist_name")), "artist_id")
     )
     order = [F.col("play_count").desc(), F.col("artist_id")]
-    best = top_k(per_artist, order, limit)
+    best = top_k(per_artist, order, _ranked(limit))
     days = _days_in_range(plays, since, until, as_of)
     return with_rank(best, order).select(
         "rank",
@@ -274,7 +286,7 @@ def top_tracks(
     joined = per_track.join(dims, "track_id")
     total = joined.select(F.sum("play_count")).scalar()
     order = [F.col("play_count").desc(), F.col("track_id")]
-    best = top_k(joined, order, limit)
+    best = top_k(joined, order, _ranked(limit))
     return with_rank(best, order).select(
         "rank",
         "track_id",

@@ -7,7 +7,7 @@ parse -> sample -> dedup -> normalise plan as files do.
 
 from __future__ import annotations
 
-from encore.operators.ingest import LoadOptions, lineitem_records, plan_load
+from encore.operators.ingest import LoadOptions, dry_run, lineitem_records, plan_load
 from encore.plans.registry import register
 
 # DuckDB text of the record stream and the synthesised ids.
@@ -61,8 +61,7 @@ def q_load_tracks(spark, sf_dir):
     return _load(spark, sf_dir).normalised().tracks
 
 
-@register(
-    "load_summary",
+SUMMARY_SQL = (
     RECORDS_SQL
     + """
 SELECT COUNT(*) AS total_processed, CAST(NULL AS BIGINT) AS sampled,
@@ -70,12 +69,48 @@ SELECT COUNT(*) AS total_processed, CAST(NULL AS BIGINT) AS sampled,
        COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT ts, track_id FROM recs)) AS skipped,
        CAST(0 AS BIGINT) AS errors, false AS limit_reached,
        MIN(ts) AS first_timestamp, MAX(ts) AS last_timestamp
-FROM recs""",
+FROM recs"""
 )
+
+
+@register("load_summary", SUMMARY_SQL)
 def q_load_summary(spark, sf_dir):
     return _load(spark, sf_dir).summary()
 
 
+@register("load_dry_run", SUMMARY_SQL)
+def q_load_dry_run(spark, sf_dir):
+    """K9: the same figures without a write."""
+    return dry_run(lineitem_records(spark, sf_dir), LoadOptions(no_duplicates=True))
+
+
+# Every third record is spoilt: no artist, an unreadable time, or milliseconds for seconds.
+SPOILT_SQL = (
+    RECORDS_SQL
+    + """, s AS (SELECT *, l_orderkey % 9 AS k FROM recs)
+SELECT CASE k WHEN 0 THEN 'Missing required field: artist' ELSE 'Invalid timestamp' END AS reason, COUNT(*) AS n
+FROM s WHERE k IN (0, 3, 6) GROUP BY 1"""
+)
+
+
+@register("load_rejects", SPOILT_SQL)
+def q_load_rejects(spark, sf_dir):
+    """K8: rejects by reason, of records under other spellings of their fields."""
+    from pyspark.sql import functions as F
+
+    k = F.col("_block") % 9
+    m = F.col("fields")
+    time = F.when(k == 3, F.lit("no time")).when(k == 6, F.lit("1705329000000")).otherwise(m["timestamp"])
+    artist = F.when(k != 0, m["artist"]).otherwise(F.lit(" "))
+    named = F.create_map(
+        F.lit(" Played_At "), time, F.lit("ARTIST_NAME"), artist, F.lit("albumtitle"), m["album"], F.lit("Song"), m["track"]
+    )
+    records = lineitem_records(spark, sf_dir).withColumn("fields", named)
+    rejects = plan_load(records, LoadOptions(skip_errors=True)).rejects()
+    reason = F.when(F.col("reason").startswith("Invalid timestamp"), "Invalid timestamp").otherwise(F.col("reason"))
+    return rejects.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(
     "load_sample_summary",
     SAMPLED_SQL

@@ -20,6 +20,7 @@ def ts(text):
     return dt.datetime.fromisoformat(text)
 
 
+# The rows of FX1-FX3, for which the expected figures are known.
 @pytest.fixture
 def fx1(spark):
     """FX1 rollup set."""

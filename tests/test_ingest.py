@@ -37,6 +37,7 @@ def test_missing_fields(spark, field):
     assert parse_one(spark, rec).reject_reason == f"Missing required field: {field}"
 
 
+# The accepted layouts and the instants they stand for.
 def test_timestamps(spark):
     want = dt.datetime(2024, 1, 15, 14, 30)
     for text in ["1705329000", "2024-01-15T14:30:00", "2024-01-15 14:30:00", "2024/01/15 14:30:00",

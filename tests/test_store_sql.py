@@ -111,6 +111,27 @@ def test_bounded_replay(spark):
     assert SnowflakeStore(spark, f"{d}/store").read().plays.count() == 3
 
 
+def test_stored_snowflake_and_listing(spark, fx3):
+    from encore.sources.tables import read_snowflake_dir
+
+    root = tempfile.mkdtemp(prefix="encore-dir-")
+    fx3.tracks.write.parquet(f"{root}/tracks")
+    s = read_snowflake_dir(spark, root)
+    assert s.tracks.count() == 3 and s.plays.count() == 0 and s.artists.columns == fx3.artists.columns
+    fx3.tracks.createOrReplaceTempView("listed_tracks")
+    assert "listed_tracks" in {r.tableName for r in profile.catalog_listing(spark).collect()}
+
+
+def test_file_names_must_differ(spark):
+    d = tempfile.mkdtemp(prefix="encore-files-")
+    for sub in ("a", "b"):
+        os.makedirs(f"{d}/{sub}")
+        with open(f"{d}/{sub}/t.csv", "w") as f:
+            f.write("x\n1\n")
+    with pytest.raises(ValueError, match="two files"):
+        adhoc.load_files(spark, [f"{d}/a/t.csv", f"{d}/b/t.csv"])
+
+
 def test_save_and_shapes(spark):
     import json
 
