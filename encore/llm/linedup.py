@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from encore.llm.common import bucket
+
 #: What ends a line in a page: a line feed, or a tag that starts or ends a block.
 BLOCK_TAG = r"(?i)</?(?:p|br|hr|li|ul|ol|div|nav|article|section|header|footer|aside|main|h[1-6]|tr|td|th|table|title|body|html|head|pre|blockquote)\b[^>]*>"
 #: What is not text: scripts, styles, comments; then any other tag.
 HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 TAG = r"<[^>]*>"
 
+#: Parts that the pages of a host are dealt into where they meet its boilerplate.
+SALTS = 32
+
 
 def page_lines(html: Column) -> Column:
     """The trimmed lines of a page's text, without empty ones; null has none."""
@@ -54,7 +59,10 @@ def dedup_lines(
     """
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), page_lines(F.col(html)).alias("lines"))
     common = boilerplate(rows.select("host", "lines"), max_ratio, min_pages)
-    joined = rows.join(common, "host", "left").withColumn("boilerplate", F.coalesce("boilerplate", F.array().cast("array<string>")))
+    # a host may hold a third of all pages: these are dealt into parts, and the host's few lines go to each
+    salted = rows.withColumn("part", bucket(SALTS, F.col("page_id"), F.col("lines")))
+    common = common.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = salted.join(common, ["host", "part"], "left").withColumn("boilerplate", F.coalesce("boilerplate", F.array().cast("array<string>")))
     kept = joined.withColumn("kept", F.filter("lines", lambda x: ~F.array_contains("boilerplate", x)))
     return kept.select(
         "page_id", "host", F.size("lines").cast("long").alias("n_lines"), F.size("kept").cast("long").alias("n_kept"),
