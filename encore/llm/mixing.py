@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.llm.common import WORD, blocks_for, bucket, running_start, stored
@@ -30,6 +30,12 @@ def water_fill(sizes: list[int], weights: list[float], total: float, max_epochs:
     return targets
 
 
+def _mark(doc_id: str, text: str, source: str) -> Column:
+    """Hash that, with doc_id (0 if null), tells rows apart but for copies of one text in one source; never null."""
+    columns = [F.col(text).cast("string"), F.col(source).cast("string")]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns], F.col(doc_id).isNull())
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
@@ -49,7 +55,7 @@ def mix(
     into blocks, so a hot source is neither sorted nor gathered in one task, and reruns agree.
 
     Returns doc_id, source, size (words), source_size, target, taken, start (words of the source
-    before this row in the order). Null or empty text has size 0 and is taken 0 times; a source
+    before this row in the order), mark (a hash of the row's text and source). Null or empty text has size 0 and is taken 0 times; a source
     without words has target 0; repeated rows are rows of their own; an empty table gives an empty
     result. Other columns are ignored. The driver holds one row per source: a mix names its
     sources, so their number is set by the mix and not by the corpus.
@@ -59,6 +65,7 @@ def mix(
             F.col(doc_id).alias("doc_id"),
             F.col(source).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            _mark(doc_id, text, source).alias("mark"),
         ),
         "mix-sizes",
     )
@@ -76,12 +83,13 @@ def mix(
         plan, "source_ix int, plan_source string, source_size long, target double, whole long, part long"
     )
     rows = narrow.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
-    seeded = F.xxhash64(F.lit(seed).cast("long"), F.col("doc_id"))
+    # rows without doc_id are told apart by their mark, so that they spread over the order too
+    seeded = F.xxhash64(F.lit(seed).cast("long"), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("mark")))
     rows = rows.withColumn("order", seeded).withColumn("block", bucket(blocks_for(sum(r.n for r in per)), F.col("order")))
-    rows = running_start(rows, ["source_ix"], "block", ["order", "doc_id", "size"], "size", "start")
+    rows = running_start(rows, ["source_ix"], "block", ["order", "doc_id", "size", "mark"], "size", "start")
     extra = F.least(F.greatest(F.col("part") - F.col("start"), F.lit(0)), F.col("size"))
     return rows.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).alias("taken"), "start"
+        "doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).alias("taken"), "start", "mark",
     )
 
 
@@ -91,16 +99,27 @@ def mix_rows(docs: DataFrame) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, the last repetition cut to its words.
+    """The mix itself: each row as often as it is taken, the last repetition cut to its words.
 
-    ``docs`` has the columns of documents. A row that repeats a doc_id takes that document's first plan row. n_chars of
-    a cut text is that of the cut text.
+    ``docs`` has the columns of documents. Rows meet their plan by doc_id, text and source; copies that agree in these
+    stand next to each other in the order, so they share what is taken of them, the first ones in full. n_chars of a
+    cut text is that of the cut text.
     """
-    plan = mixed.filter(F.col("taken") > 0).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.min(F.struct("start", "size", "taken")).alias("_p")
-    )
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    whole, rest = F.floor(F.col("_p.taken") / F.col("_p.size")).cast("int"), F.col("_p.taken") % F.col("_p.size")
+    # (id, mark) is never null, so that one dealing of rows serves the join and the numbering of copies
+    plan = mixed.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("mark").alias("_mark")).agg(
+        F.struct(
+            F.min("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("copies"),
+            F.min(F.floor(F.col("taken") / F.greatest("size", F.lit(1)))).alias("whole"),
+        ).alias("_p")
+    ).filter("_p.taken > 0")
+    marked = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_mark", _mark("doc_id", "text", "source"))
+    rows = marked.join(plan, ["_id", "_mark"])
+    before = F.row_number().over(Window.partitionBy("_id", "_mark").orderBy("lang", "n_chars")) - 1
+    size = F.col("_p.size")
+    # beyond the whole repetitions of every copy
+    more = F.col("_p.taken") - F.col("_p.copies") * F.col("_p.whole") * size - before * size
+    rows = rows.withColumn("_taken", F.col("_p.whole") * size + F.least(F.greatest(more, F.lit(0)), size)).filter("_taken > 0")
+    whole, rest = F.floor(F.col("_taken") / size).cast("int"), F.col("_taken") % size
     times = rows.withColumn("_k", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
     cut = F.col("_k") > whole
     words = F.regexp_extract_all(F.col("text"), F.lit("(" + WORD + ")"), F.lit(1))

@@ -71,6 +71,29 @@ def test_apply_takes_what_the_mix_says(spark):
     assert got == {i: t for i, t in taken.items() if t}
 
 
+def test_apply_tells_rows_without_or_of_one_doc_id_apart(spark):
+    """Null and repeated doc_ids of several sources and sizes: each source gets what the mix takes of it, each text its own."""
+    rows = [(k, " ".join(words(k, 5 + 3 * k)), "en", f"s{k % 5}") for k in range(30)]
+    rows += [(None, " ".join(words(100 + k, 4 + k)), "en", f"s{k % 5}") for k in range(25)]
+    rows += [(7, " ".join(words(200 + k, 11)), "en", f"s{k % 5}") for k in range(10)]
+    rows += [(None, "the same five words again", "en", f"s{k % 2}") for k in range(9)] + [(None, None, "en", "s1"), (None, "", None, None)]
+    df = documents(spark, rows)
+    mixed = mixing.mix(df)
+    sums = {r.source: r.t for r in mixed.groupBy("source").agg(F.sum("taken").alias("t")).collect() if r.t}
+    out = mixing.apply_mix(df, mixed).collect()
+    got = {}
+    for r in out:
+        got[r.source] = got.get(r.source, 0) + count(r.text)
+    assert got == sums
+    whole = {(i, t, s) for i, t, _, s in rows}
+    cut = [r for r in out if (r.doc_id, r.text, r.source) not in whole]
+    assert len(cut) <= len(sums)
+    size = {}
+    for r in mixed.collect():
+        size.setdefault((r.doc_id, r.source, r.mark), []).append(r.taken // r.size if r.size else 0)
+    assert len(out) - len(cut) == sum(map(sum, size.values()))
+
+
 def test_empty(spark, none):
     assert mixing.mix(none).collect() == []
     blank = documents(spark, [(1, None, None, "a"), (2, "", None, None)])
