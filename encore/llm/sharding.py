@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.llm.common import blocks_for, bucket, running_start, stored
 from encore.llm.transport import level_capacities, min_cost_transport
+from encore.session import scratch_path
 
 #: Documents above 1/LARGE of a shard are placed one by one; there are at most LARGE per shard.
 LARGE = 256
@@ -28,6 +31,12 @@ def _place_large(sizes: list[tuple[int, int]], mean: float, n_shards: int) -> tu
     return place, load
 
 
+def _row_mark(docs: DataFrame) -> Column:
+    """Hash of all columns that have one: rows that agree in it stand in for each other. Never null."""
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind not in ("void", "variant")]
+    return F.xxhash64(*plain, *[c.isNull() for c in plain])
+
+
 def assign_shards(
     docs: DataFrame,
     old_shard: Column,
@@ -45,7 +54,7 @@ def assign_shards(
     above 1/256 of a shard (at most 256 a shard), which are placed as blocks of their own.
 
     Returns doc_id, size (UTF-8 bytes + 16), text_crc32, old_shard, shard, slot (gapless from 0
-    in each shard). Null text counts as empty, a null or unknown old shard as nowhere (its bytes
+    in each shard), row_mark (hash of the row, by which rewrite_shards finds it again). Null text counts as empty, a null or unknown old shard as nowhere (its bytes
     move). Repeated rows are rows of their own and go where their position puts them. An empty
     table gives an empty result. Other columns are ignored, whatever their names.
     """
@@ -56,6 +65,7 @@ def assign_shards(
             (F.octet_length(body).cast("long") + HEADER_BYTES).alias("size"),
             F.crc32(body.cast("binary")).alias("text_crc32"),
             F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old_shard"),
+            _row_mark(docs).alias("row_mark"),
         ),
         "reshard-rows",
     )
@@ -64,7 +74,7 @@ def assign_shards(
     mean = total / n_shards
     limit = int(mean // LARGE)
     large = narrow.filter(F.col("size") > limit).collect()
-    large.sort(key=lambda r: (r.size, r.doc_id is None, r.doc_id or 0, r.text_crc32, r.old_shard))
+    large.sort(key=lambda r: (r.size, r.doc_id is None, r.doc_id or 0, r.text_crc32, r.old_shard, r.row_mark))
     place, load = _place_large([(r.size, r.old_shard) for r in large], mean, n_shards)
 
     small = narrow.filter(F.col("size") <= limit)
@@ -85,21 +95,21 @@ def assign_shards(
     blocks = blocks_for(rows)
     placed = running_start(
         small.withColumn("block", bucket(blocks, F.col("doc_id"))),
-        ["old_shard"], "block", ["doc_id", "text_crc32", "size"], "size", "start",
+        ["old_shard"], "block", ["doc_id", "text_crc32", "size", "row_mark"], "size", "start",
     )
     middle = F.col("start") + F.floor(F.col("size") / 2)
     # at most one run per old and new shard: n_shards * (n_shards + 1) rows
     run = F.broadcast(spark.createDataFrame(runs, schema).withColumnRenamed("old_shard", "run_of"))
     placed = placed.join(run, (F.col("old_shard") == F.col("run_of")) & (middle >= F.col("lo")) & (middle < F.col("hi")))
-    columns = ["doc_id", "size", "text_crc32", "old_shard", "shard", "block"]
+    columns = ["doc_id", "size", "text_crc32", "old_shard", "row_mark", "shard", "block"]
     one_by_one = spark.createDataFrame(
-        [(r.doc_id, r.size, r.text_crc32, r.old_shard, to, -1) for r, to in zip(large, place, strict=True)],
+        [(r.doc_id, r.size, r.text_crc32, r.old_shard, r.row_mark, to, -1) for r, to in zip(large, place, strict=True)],
         placed.select(*columns).schema,
     )
     whole = stored(placed.select(*columns).unionByName(one_by_one), "reshard-placed").withColumn("one", F.lit(1))
     whole = whole.withColumn("part", F.struct("old_shard", "block"))
-    numbered = running_start(whole, ["shard"], "part", ["doc_id", "text_crc32", "size"], "one", "slot")
-    return numbered.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot")
+    numbered = running_start(whole, ["shard"], "part", ["doc_id", "text_crc32", "size", "row_mark"], "one", "slot")
+    return numbered.select("doc_id", "size", "text_crc32", "old_shard", "shard", "slot", "row_mark")
 
 
 def affected_shards(assigned: DataFrame) -> list[int]:
@@ -112,13 +122,35 @@ def affected_shards(assigned: DataFrame) -> list[int]:
 def rewrite_shards(docs: DataFrame, assigned: DataFrame, path: str, doc_id: str = "doc_id") -> list[int]:
     """Write the files of the affected shards anew, one folder ``shard=K`` each, and return K's.
 
-    doc_id must tell rows apart here (rows that repeat one would be written by each other's
-    shard); shards not returned need no new file.
+    ``docs`` are the rows given to assign_shards. They meet their shards by doc_id, row_mark and a copy number that
+    both sides count alike, so each row is written once, also where rows repeat a doc_id or a whole row. Columns
+    _slot and _old_shard come with each row. Folders of affected shards that stand below ``path`` are replaced, those
+    left without rows go; shards not returned need no new file and keep theirs.
     """
     affected = affected_shards(assigned)
-    where = assigned.filter(F.col("shard").isin(affected)).select(F.col("doc_id").alias("_id"), F.col("shard").alias("_to"))
-    rows = docs.drop("shard").join(where, F.col(doc_id).eqNullSafe(F.col("_id"))).drop("_id").withColumnRenamed("_to", "shard")
-    rows.write.partitionBy("shard").mode("append").parquet(path)
+    copies = Window.partitionBy("_id", "_mark")
+    # copies of a row are alike on both sides but for where they go
+    where = assigned.select(
+        F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("row_mark").alias("_mark"), F.col("shard").alias("_to"),
+        F.col("slot").alias("_slot"), F.col("old_shard").alias("_old_shard"),
+    ).withColumn("_copy", F.row_number().over(copies.orderBy("_to", "_slot")))
+    where = where.filter(F.col("_to").isin(affected))
+    rows = docs.withColumn("_mark", _row_mark(docs)).withColumn("_id", F.coalesce(F.col(doc_id), F.lit(0))).drop("shard")
+    rows = rows.withColumn("_copy", F.row_number().over(copies.orderBy("_mark")))
+    rows = rows.join(where, ["_id", "_mark", "_copy"]).drop("_id", "_mark", "_copy").withColumnRenamed("_to", "shard")
+    # the numbering deals rows by (_id, _mark) already: the join takes that, else texts would be dealt out twice
+    conf, every = docs.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
+    before = conf.get(every)
+    conf.set(every, "false")
+    try:
+        rows.write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    finally:
+        conf.set(every, before)
+    filled = {r.shard for r in assigned.select("shard").distinct().collect()}
+    jvm, hadoop = docs.sparkSession._jvm, docs.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for k in set(affected) - filled:
+        folder = jvm.org.apache.hadoop.fs.Path(path, f"shard={k}")
+        folder.getFileSystem(hadoop).delete(folder, True)
     return affected
 
 
@@ -128,11 +160,22 @@ def old_layout(column: str = "source", n_shards: int = 40) -> Column:
 
 
 def shard_rows(docs: DataFrame, n_shards: int = 40) -> DataFrame:
-    """The rows of the contract: law `bytes`, no grown shard."""
-    out = assign_shards(docs, old_layout("source", n_shards), n_shards)
+    """The rows of the contract: law `bytes`, no grown shard.
+
+    The affected shards are written anew to a fresh folder, and their rows are read from those files.
+    """
+    assigned = stored(assign_shards(docs, old_layout("source", n_shards), n_shards), "reshard-assigned")
+    spark = docs.sparkSession
+    path = scratch_path(spark, "llm", f"shards-{uuid.uuid4().hex}")
+    affected = rewrite_shards(docs, assigned, path)
+    body = F.coalesce("text", F.lit(""))
+    columns = ["doc_id", "size", "text_crc32", "shard", "slot", "old_shard"]
+    written = spark.read.schema("doc_id long, text string, _slot long, _old_shard int, shard int").parquet(path).select(
+        "doc_id", (F.octet_length(body).cast("long") + HEADER_BYTES).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
+        "shard", F.col("_slot").alias("slot"), F.col("_old_shard").alias("old_shard"),
+    )
+    out = written.unionByName(assigned.filter(~F.col("shard").isin(affected)).select(*columns))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "old_shard",
     )
-
-

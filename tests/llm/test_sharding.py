@@ -94,3 +94,36 @@ def test_rewrite_touches_only_affected_shards(spark):
     written = spark.read.parquet(path)
     want = {r.doc_id: r.shard for r in assigned.collect() if r.shard in affected}
     assert {r.doc_id: r.shard for r in written.collect()} == want and 0 in affected and 1 in affected
+
+
+def test_rewrite_writes_every_row_once(spark):
+    """Repeated and null doc_ids, whole copies, and a second run to the same folder."""
+    rows = [(k // 2 if k % 7 else None, " ".join(words(k, 5 + k % 30)), "en", f"s{k % 3}") for k in range(300)]
+    rows += [(5, "the same row", "en", f"s{k % 2}") for k in range(40)]
+    df = documents(spark, rows, clash=True)
+    old = F.pmod(F.crc32("source"), F.lit(4)).cast("int")
+    assigned = sharding.assign_shards(df, old, 4)
+    path = tempfile.mkdtemp(prefix="encore-shards-") + "/new"
+    affected = sharding.rewrite_shards(df, assigned, path)
+    assert sharding.rewrite_shards(df, assigned, path) == affected
+    where = assigned.collect()
+    written = spark.read.parquet(path).withColumn("old", old).collect()
+    want = sorted((r.text_crc32, r.size, r.old_shard, r.shard, r.slot) for r in where if r.shard in affected)
+    got = sorted((zlib.crc32(r.text.encode()), len(r.text.encode()) + 16, r.old, r.shard, r._slot) for r in written)
+    assert got == want
+    # with the files that stay, all rows are there
+    stay = [str((i, t, s)) for i, t, _, s in rows]
+    kept = [str((r.doc_id, r.text, r.source)) for r in df.withColumn("old", old).collect() if r.old not in affected]
+    assert sorted(kept + [str((r.doc_id, r.text, r.source)) for r in written]) == sorted(stay)
+
+
+def test_query_rewrites(spark, monkeypatch):
+    """The query's rows of affected shards are those of the files."""
+    seen = []
+    rewrite = sharding.rewrite_shards
+    monkeypatch.setattr(sharding, "rewrite_shards", lambda docs, assigned, path: seen.append((path, rewrite(docs, assigned, path))) or seen[-1][1])
+    rows = [(k // 2, " ".join(words(k // 2, 20)), "en", f"s{k % 3}") for k in range(200)]
+    got = sharding.shard_rows(documents(spark, rows), 4).collect()
+    check(rows, got, 4)
+    (path, affected), = seen
+    assert affected and spark.read.parquet(path).count() == sum(r.shard in affected for r in got)
