@@ -19,13 +19,14 @@ LARGE = 256
 HEADER_BYTES = 16
 
 
-def _place_large(sizes: list[tuple[int, int]], mean: float, n_shards: int) -> tuple[list[int], list[int]]:
-    """Shard of each (size, old shard), largest first: the old one while it has room, else the emptiest."""
+def _place_large(sizes: list[tuple[int, int]], levels: list[float]) -> tuple[list[int], list[int]]:
+    """Shard of each (size, old shard), largest first: the old one while it has room below its level, else the one with most room."""
+    n_shards = len(levels)
     load, place = [0] * n_shards, [0] * len(sizes)
     for k in sorted(range(len(sizes)), key=lambda k: -sizes[k][0]):
         size, old = sizes[k]
-        fits = 0 <= old < n_shards and load[old] + size <= mean
-        to = old if fits else min(range(n_shards), key=lambda j: load[j])
+        fits = 0 <= old < n_shards and load[old] + size <= levels[old]
+        to = old if fits else min(range(n_shards), key=lambda j: load[j] - levels[j])
         place[k] = to
         load[to] += size
     return place, load
@@ -51,7 +52,8 @@ def assign_shards(
     equal by default); keeping a byte where it is costs 0, moving it 1, and the minimum-cost
     flow says how many bytes of each old shard go where. Spark then cuts each old shard, in
     blocks, into runs of those lengths. The driver sees one sum per shard and the documents
-    above 1/256 of a shard (at most 256 a shard), which are placed as blocks of their own.
+    above 1/256 of a mean shard (at most 256 a shard), which are placed as blocks of their own,
+    each shard up to its own capacity.
 
     Returns doc_id, size (UTF-8 bytes + 16), text_crc32, old_shard, shard, slot (gapless from 0
     in each shard), row_mark (hash of the row, by which rewrite_shards finds it again). Null text counts as empty, a null or unknown old shard as nowhere (its bytes
@@ -75,7 +77,10 @@ def assign_shards(
     limit = int(mean // LARGE)
     large = narrow.filter(F.col("size") > limit).collect()
     large.sort(key=lambda r: (r.size, r.doc_id is None, r.doc_id or 0, r.text_crc32, r.old_shard, r.row_mark))
-    place, load = _place_large([(r.size, r.old_shard) for r in large], mean, n_shards)
+    # each shard's own share of all bytes
+    weights = [1.0] * n_shards if capacities is None else list(capacities)
+    levels = [total * w / sum(weights) for w in weights]
+    place, load = _place_large([(r.size, r.old_shard) for r in large], levels)
 
     small = narrow.filter(F.col("size") <= limit)
     supply = {r.old_shard: r.b for r in small.groupBy("old_shard").agg(F.sum("size").alias("b")).collect()}

@@ -127,3 +127,22 @@ def test_query_rewrites(spark, monkeypatch):
     check(rows, got, 4)
     (path, affected), = seen
     assert affected and spark.read.parquet(path).count() == sum(r.shard in affected for r in got)
+
+
+def test_capacities_hold_with_long_documents(spark):
+    """Documents too long for the flow fill each shard up to its own capacity, but for one document."""
+    weights = [1, 3, 2, 0.5]
+    for longest in (40, 400):
+        rows = [(k, " ".join(words(k, longest // 2 + k % (longest // 2))), "en", "s") for k in range(200)]
+        rows += [(1000 + k, " ".join(words(k, 3)), "en", "s") for k in range(100)]
+        df = documents(spark, rows)
+        for old in (F.lit(3), F.pmod(F.col("doc_id"), F.lit(4))):
+            got = sharding.assign_shards(df, old, 4, capacities=weights).collect()
+            loads = check(rows, got, 4)
+            levels = [sum(loads) * w / sum(weights) for w in weights]
+            most = max(r.size for r in got)
+            assert all(abs(x - y) <= most for x, y in zip(loads, levels, strict=True)), (loads, levels)
+            # nothing moves out of a shard that stands below its capacity
+            before = [sum(r.size for r in got if r.old_shard == k) for k in range(4)]
+            moved = sum(r.size for r in got if r.old_shard != r.shard)
+            assert moved <= sum(max(0, b - y) for b, y in zip(before, levels, strict=True)) + 4 * most
