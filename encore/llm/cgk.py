@@ -25,6 +25,8 @@ GRID = 1.12
 ITEM_BLOCK = 20_000
 #: Items of fewer words must match exactly.
 MIN_WORDS = 8
+#: Longer items are looked for by pieces of up to this many words: walks drift apart over long windows.
+PIECE = 40
 #: Sizes of the word grams that are counted before a window is embedded.
 GRAMS = (3, 2, 1)
 #: Windows embedded at a time.
@@ -56,6 +58,19 @@ def edits_allowed(words: int, max_edits: float = MAX_EDITS) -> int:
     return int(words * max_edits) if words >= MIN_WORDS else 0
 
 
+def pieces(words: int, allowed: int) -> list[tuple[int, int, int]]:
+    """(offset, words, edits) of the pieces by which an item is looked for: itself, if it is short.
+
+    A long item is cut into k even pieces, and k - 1 more lie across the cuts. If the whole has no
+    more than ``allowed`` edits, one of the k has no more than a k-th of them.
+    """
+    if words <= PIECE:
+        return [(0, words, allowed)]
+    k = -(-words // PIECE)
+    size = words // k
+    return [(h * (words - size) // (2 * k - 2), size, allowed // k) for h in range(2 * k - 1)]
+
+
 def word_grams(codes: np.ndarray, size: int) -> np.ndarray:
     """Hash of every run of ``size`` words."""
     runs = max(0, len(codes) - size + 1)
@@ -133,6 +148,21 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return int(min(row.min(), most + 1))
 
 
+def nearest_start(a: np.ndarray, b: np.ndarray, span: int, most: int) -> tuple[int, int]:
+    """Least word edits between ``a`` and any run of ``b`` that starts at 0..span, and the first such start; above ``most``: most + 1."""
+    one = np.int64(1) << 32  # edits above, start below
+    places = np.arange(len(b) + 1, dtype=np.int64)
+    row = np.maximum(places - span, 0) * one + np.minimum(places, span)
+    for x in a:
+        step = np.minimum(row[1:] + one, row[:-1] + (b != x) * one)
+        new = np.concatenate([row[:1] + one, step])
+        row = np.minimum.accumulate(new - places * one) + places * one
+        if row.min() >> 32 > most:
+            return most + 1, 0
+    best = int(row.min())
+    return min(best >> 32, most + 1), best & 0xFFFFFFFF
+
+
 class ItemIndex:
     """Items by window length, their vocabulary, and the keys of their embeddings."""
 
@@ -144,12 +174,15 @@ class ItemIndex:
             return
         self.vocabulary = np.unique(np.concatenate(self.codes))
         self.grams = {q: np.unique(np.concatenate([word_grams(c, q) for c in self.codes])) for q in GRAMS}
-        sizes = np.array([window_length(len(c)) for c in self.codes])
+        #: item, offset and edits of every piece
+        cut = [(k, *p) for k, c in enumerate(self.codes) for p in pieces(len(c), self.allowed[k])]
+        self.piece_item, self.piece_at, words, edits = (np.array(x, np.int64) for x in zip(*cut, strict=True))
+        sizes = np.array([window_length(int(n)) for n in words])
         self.walks = Walks(list(sizes))
         kind = np.searchsorted(self.walks.lengths, sizes)
-        #: Edits that the items of each length allow.
-        self.most = [max(self.allowed[k] for k in np.flatnonzero(sizes == n)) for n in self.walks.lengths]
-        begin = np.concatenate([[0], np.cumsum([len(c) for c in self.codes])])[:-1]
+        #: Edits that the pieces of each length allow.
+        self.most = [int(edits[sizes == n].max()) for n in self.walks.lengths]
+        begin = np.concatenate([[0], np.cumsum([len(c) for c in self.codes])])[self.piece_item] + self.piece_at
         keys = self.walks.embed(np.concatenate(self.codes), begin, begin + sizes, kind)
         self.owner = np.argsort(keys, axis=1, kind="stable")
         self.keys = np.take_along_axis(keys, self.owner, axis=1)
@@ -181,7 +214,7 @@ class ItemIndex:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def candidates(self, codes: np.ndarray, before: np.ndarray) -> list[tuple[int, int]]:
-        """(word, item) where the window at the word agrees with the item in the samples of a walk."""
+        """(word, piece) where the window at the word agrees with the piece in the samples of a walk."""
         start, stop, kind = self.windows(codes, before)
         keys = self.walks.embed(codes, start, stop, kind)
         pairs = set()
@@ -196,8 +229,12 @@ class ItemIndex:
         found: list[dict[int, tuple[int, int]]] = [{} for _ in range(len(before) - 1)]
         if not self.ids or not len(codes):
             return found
-        for s, k in self.candidates(codes, before):
-            text = int(np.searchsorted(before, s, "right")) - 1
+        spread: dict[tuple[int, int], set[int]] = {}
+        for s, piece in self.candidates(codes, before):
+            text, k = int(np.searchsorted(before, s, "right")) - 1, int(self.piece_item[piece])
+            if len(self.codes[k]) > PIECE:
+                spread.setdefault((text, k), set()).add(s - int(self.piece_at[piece]))
+                continue
             own = found[text]
             most = self.allowed[k] if k not in own else own[k][0] - 1
             if most < 0:
@@ -206,9 +243,37 @@ class ItemIndex:
             d = edit_distance(item, codes[s : min(s + len(item) + self.allowed[k], before[text + 1])], most)
             if d <= most:
                 own[k] = (d, s - int(before[text]))
+        for (text, k), starts in spread.items():
+            item, edits, own = self.codes[k], self.allowed[k], found[text]
+            first, end = int(before[text]), int(before[text + 1])
+            for lo, hi in start_ranges(sorted(starts), edits, len(item)):
+                lo, most = max(lo, first), edits if k not in own else own[k][0] - 1
+                if hi < lo or lo >= end or most < 0:
+                    continue
+                hi = min(hi, end - 1)
+                d, at = nearest_start(item, codes[lo : min(hi + len(item) + edits, end)], hi - lo, most)
+                if d <= most:
+                    own[k] = (d, lo + at - first)
         return found
 
 
+def start_ranges(starts: list[int], edits: int, words: int) -> Iterator[tuple[int, int]]:
+    """Ranges in which an item may start whose pieces point to ``starts`` (ascending): edits before a piece shift it.
+
+    Ranges that meet are verified as one, up to the length of the item.
+    """
+    lo = hi = None
+    for s in starts:
+        if lo is not None and s - edits <= hi and s + edits - lo <= words + 2 * edits:
+            hi = s + edits
+            continue
+        if lo is not None:
+            yield lo, hi
+        lo, hi = s - edits, s + edits
+    if lo is not None:
+        yield lo, hi
+
+
 def _items(batches: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
     codes, before = word_codes(pa.array([t for _, t in batches], pa.string()))
     return [(i, codes[before[k] : before[k + 1]]) for k, (i, _) in enumerate(batches) if before[k + 1] > before[k]]
@@ -229,10 +294,11 @@ def contamination(
 
     A document holds an item if some run of its words is within ``max_edits`` word edits per word
     of the item's text (case, punctuation and white space do not count; items under 8 words must
-    match exactly). Every window of an item's length is considered: windows with too few words, pairs or triples of words
+    match exactly). Items above 40 words are looked for by overlapping pieces of 20 to 40 words, any of which proposes
+    the item. Every window of an item's or piece's length is considered: windows with too few words, pairs or triples of words
     of the benchmark to be that near are passed over (an edit brings in 1, 2 or 3 new ones at most, so none is lost), the others are embedded
     by 20 random walks, and those that agree with an item on 3 sampled coordinates in any walk are
-    verified by exact edit distance. An item with one word in ten changed is found with
+    verified by exact edit distance of the whole item (over all starts that an agreeing piece implies). An item with one word in ten changed is found with
     probability above 0.99 (see the tests); an unchanged one always.
 
     Returns doc_id, contaminated, n_items, item_ids (ascending), edits, at (word positions). The benchmark is held in

@@ -65,6 +65,38 @@ def test_recall_and_precision():
     assert not any(index.hits(codes, before))
 
 
+def test_long_items():
+    """Items of 100 to 800 words at the edit limit are found, with the edits and the start that plain distance gives."""
+    rng = random.Random(31)
+    lengths = [41, 60, 79, 100, 200, 400, 800] * 6
+    items = [(k, " ".join(words(9000 + k, n, 4000))) for k, n in enumerate(lengths)]
+    index = cgk.ItemIndex(cgk._items(items))
+    found = []
+    for k, text in items:
+        item = text.split()
+        body = words(3000 + k, 50, 4000) + edited(item, cgk.edits_allowed(len(item)), rng) + words(4000 + k, 50, 4000)
+        codes, before = cgk.word_codes(pa.array(["", " ".join(body), text]))
+        _, changed, whole = index.hits(codes, before)
+        assert whole == {k: (0, 0)}
+        if k in changed:
+            d, at = changed[k]
+            assert d <= cgk.edits_allowed(len(item)) and plain_distance(item, body[at : at + 2 * len(item)]) == d
+        found.append(k in changed)
+    assert sum(found) >= 0.95 * len(found)
+    assert all(f for f, n in zip(found, lengths, strict=True) if n >= 200)
+
+
+def test_nearest_start():
+    rng = random.Random(4)
+    for _ in range(200):
+        a = [rng.randrange(3) for _ in range(rng.randrange(1, 8))]
+        b = [rng.randrange(3) for _ in range(rng.randrange(1, 14))]
+        span = rng.randrange(len(b))
+        d, at = cgk.nearest_start(np.array(a), np.array(b), span, 4)
+        want = min(plain_distance(a, b[s:]) for s in range(span + 1))
+        assert d == min(want, 5) and (d > 4 or plain_distance(a, b[at:]) == d)
+
+
 def test_windows_pass_over_nothing():
     """Every window within the allowed edits of an item has enough known grams."""
     rng = random.Random(2)
