@@ -50,8 +50,9 @@ def score_graph(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scores of instances (kind, instance, score) and patterns (kind, pattern, confidence, support).
 
     ``seen`` has kind, instance, pattern, seed. Seeds score 1. A pattern's confidence for a kind is
-    the summed score of its instances over the number of all that stand in it (other runs of
-    digits too) plus one; an instance's score is the chance that not all its confident patterns
+    the summed score of its instances over that sum, the instances of other kinds that stand in it
+    (other runs of digits too) and one: candidates of the kind that nothing speaks for yet are what
+    is to be found, and count neither way. An instance's score is the chance that not all its confident patterns
     err. The two are computed from each other ROUNDS times, by joins and sums over distinct
     (pattern, instance) pairs; a round is written out, so its loss costs that round.
     """
@@ -63,9 +64,12 @@ def score_graph(seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     confident = None
     for _ in range(ROUNDS):
         sums = named.join(scores, ["kind", "instance"]).groupBy("kind", "pattern").agg(
-            F.sum("score").alias("sum"), F.sum((F.col("score") >= INSTANCE_SCORE).cast("int")).alias("support")
+            F.sum("score").alias("sum"), F.count("*").alias("own"), F.sum((F.col("score") >= INSTANCE_SCORE).cast("int")).alias("support")
+        )
+        # size - own: instances of other kinds
+        rated = sums.join(size, "pattern").select(
+            "kind", "pattern", (F.col("sum") / (F.col("sum") + F.col("size") - F.col("own") + 1)).alias("confidence"), "support"
         )
-        rated = sums.join(size, "pattern").select("kind", "pattern", (F.col("sum") / (F.col("size") + 1)).alias("confidence"), "support")
         confident = stored(rated.filter((F.col("confidence") >= PATTERN_CONFIDENCE) & (F.col("support") >= PATTERN_SUPPORT)), "pii-patterns")
         voted = named.join(confident, ["kind", "pattern"]).groupBy("kind", "instance").agg(
             (1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("vote")

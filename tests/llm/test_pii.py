@@ -82,3 +82,16 @@ def test_context_discovers_unseen_identifiers(spark):
     assert got[200].spans == "phone:15:27"
     assert got[300].spans == "" and got[501].spans == ""
     assert got[500].spans.startswith("email:9:")
+
+
+def test_unseen_identifiers_may_outnumber_the_seeds(spark):
+    """A clean context is confident however many unseen candidates of its kind stand in it; other digits in it count against it."""
+    rows = [(k, f"w{k}a phone: +1 555 010 {1000 + k} b{k}x", "en", "s") for k in range(20)]
+    rows += [(100 + k, f"w{k}c phone: 555-020-{1000 + k} d{k}x", "en", "s") for k in range(60)]
+    rows += [(200 + k, f"w{k}e code: +1 555 040 {1000 + k} f{k}x", "en", "s") for k in range(20)]
+    rows += [(300 + k, f"w{k}g code: {k}7x{k} h{k}x +", "en", "s") for k in range(60)] + [(400, "i code: 555-050-1000 j", "en", "s")]
+    got = {r.doc_id: r for r in pii.identifier_rows(documents(spark, rows)).collect()}
+    for k in range(60):
+        start = rows[20 + k][1].index("555")
+        assert got[100 + k].spans == f"phone:{start}:{start + 12}"
+    assert got[400].spans == ""
