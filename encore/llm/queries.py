@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from encore.llm import cgk, clustering, language, linedup, minhash, mixing, pii, quality, sharding, toxicity, whitening, winnow
+from encore.llm import cgk, clustering, language, linedup, minhash, mixing, pii, quality, sharding, topk, toxicity, whitening, winnow
 from encore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+@query("op13_topk", topk.ORACLE_SQL)
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_rows(table(spark, sf_dir, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

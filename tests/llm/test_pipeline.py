@@ -14,8 +14,8 @@ DATA = "/root/testdata/sf0.001"
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
-    assert corpus_pipeline.ORACLE_SQL is None and "pipeline" in QUERIES and set(ORACLE_SQL) == {"op8_line_dedup"}
-    assert {q.split("_")[0] for q in QUERIES} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert corpus_pipeline.ORACLE_SQL is None and "pipeline" in QUERIES and set(ORACLE_SQL) == {"op8_line_dedup", "op11_clustering", "op13_topk"}
+    assert {q.split("_")[0] for q in QUERIES} == {*(f"op{n}" for n in range(1, 14)), "pipeline"}
 
 
 def test_stages(spark):
