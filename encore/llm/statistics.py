@@ -29,8 +29,7 @@ _LINE = _table([0x0A, 0x0D])
 
 def _share(flags: np.ndarray, ends: np.ndarray, total: np.ndarray) -> np.ndarray:
     """Per text: flags set over ``total``."""
-    sums = np.concatenate([[0], np.cumsum(flags)])
-    return (sums[ends[1:]] - sums[ends[:-1]]) / np.maximum(total, 1)
+    return np.diff(np.searchsorted(np.flatnonzero(flags), ends)) / np.maximum(total, 1)
 
 
 def _distinct(values: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _RNG = np.random.default_rng(20240607)
 _PLACES = 1 << 14
+#: Bytes of words hashed at a time.
+HASH_BYTES = 1 << 18
 #: A random odd multiplier for each place within a word, places beyond repeat.
 PLACE = _RNG.integers(0, 2**63, _PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: A random value for each byte; A-Z stand as a-z.
@@ -44,15 +46,34 @@ def split_words(data: np.ndarray, ends: np.ndarray, space: np.ndarray = SPACE) -
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, byte: np.ndarray = BYTE) -> np.ndarray:
-    """64-bit hash of each word's bytes (a random linear form per place, then mixed)."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """64-bit hash of each word's bytes (a random linear form per place, then mixed).
+
+    Bytes are spread into 8-byte terms HASH_BYTES at a time, so the memory besides the hashes does
+    not follow the texts, however long one of them or one of its words is.
+    """
     length = stops - starts
-    at = np.zeros(len(starts), np.int64)
-    np.cumsum(length[:-1], out=at[1:])
+    total = np.cumsum(length)
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = int(np.searchsorted(total, total[i] - length[i] + HASH_BYTES, "right"))
+        if j > i:
+            out[i:j] = _linear_forms(data, starts[i:j], length[i:j], byte)
+        else:
+            j = i + 1
+            for at in range(0, int(length[i]), HASH_BYTES):
+                lo = int(starts[i]) + at
+                run = data[lo : min(lo + HASH_BYTES, int(stops[i]))]
+                out[i : i + 1] += (byte[run] * PLACE[np.arange(at, at + len(run)) & (_PLACES - 1)]).sum(dtype=np.uint64)
+        i = j
+    return mix64(out + length.astype(np.uint64))
+
+
+def _linear_forms(data: np.ndarray, starts: np.ndarray, length: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    at = np.cumsum(length) - length
     place = np.arange(int(length.sum())) - np.repeat(at, length)
     values = byte[data[np.repeat(starts, length) + place]] * PLACE[place & (_PLACES - 1)]
-    return mix64(np.add.reduceat(values, at) + length.astype(np.uint64))
+    return np.add.reduceat(values, at)
 
 
 def shingles(words: np.ndarray, before: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
