@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encore.llm.common import bucket, slices, text_bytes
+from encore.llm.common import bucket, slices, stored, text_bytes
 from encore.llm.tokens import BYTE, PLACE, SPACE, mix64, split_words, word_hashes
 
 #: Word edits allowed per word of the item.
@@ -31,8 +31,6 @@ PIECE = 40
 GRAMS = (3, 2, 1)
 #: Windows embedded at a time.
 CHUNK = 4096
-#: Bytes of text searched at a time.
-SEARCH_BYTES = 8 << 20
 
 #: Bytes that do not belong to words: white space and ASCII punctuation.
 BREAK = SPACE.copy()
@@ -301,32 +299,42 @@ def contamination(
     verified by exact edit distance of the whole item (over all starts that an agreeing piece implies). An item with one word in ten changed is found with
     probability above 0.99 (see the tests); an unchanged one always.
 
-    Returns doc_id, contaminated, n_items, item_ids (ascending), edits, at (word positions). The benchmark is held in
+    Returns doc_id, contaminated, n_items, item_ids (ascending, each once), edits, at (word positions). The benchmark is held in
     blocks of 20,000 items, one pass over the documents each; documents are neither shuffled nor
-    cut. Null and empty texts hold nothing; repeated rows are rows of their own; an empty benchmark leaves all documents
+    cut, and with more than one block the rows so far are written between passes, so that a worker
+    holds one block. Null and empty texts hold nothing; repeated rows are rows of their own, null ids too; item texts
+    under one item_id count as that item, by the nearest; an empty benchmark leaves all documents
     clean. Other columns are ignored.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    spark, parts = docs.sparkSession, []
-    schema = "doc_id long, item_ids array<long>, edits array<long>, at array<long>"
-    for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(ItemIndex(_items(block), max_edits))
-        parts.append(rows.mapInArrow(_hit_lists(shared), schema))
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.union(p)
-        out = out.groupBy("doc_id").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("item_ids", "edits", "at")])
-    return out.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "edits", "at")
+    found = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"),
+        *[F.array().cast("array<long>").alias(c) for c in _LISTS],
+    )
+    found = _by_blocks(found, benchmark, max_edits, _add_hits)
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), *_LISTS)
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
-    """The rows of ``docs`` (with a column text) that hold no item, all columns kept, nothing shuffled."""
-    spark = docs.sparkSession
+    """The rows of ``docs`` (with a column text) that hold no item, all columns kept, nothing shuffled.
+
+    Null and empty texts hold nothing and stay; repeated rows stand or go each.
+    """
+    return _by_blocks(docs, benchmark, max_edits, _only_clean)
+
+
+_LISTS = ("item_ids", "edits", "at")
+
+
+def _by_blocks(df: DataFrame, benchmark: DataFrame, max_edits: float, passing) -> DataFrame:
+    """``passing`` over ``df`` once for each block of items; what a pass leaves is written before the next one."""
+    shared = None
     for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(ItemIndex(_items(block), max_edits))
-        docs = docs.mapInArrow(_only_clean(shared), docs.schema)
-    return docs
+        if shared is not None:
+            df = stored(df, "cgk-block")
+            shared.destroy()
+        shared = df.sparkSession.sparkContext.broadcast(ItemIndex(_items(block), max_edits))
+        df = df.mapInArrow(passing(shared), df.schema)
+    return df
 
 
 def _found(index: ItemIndex, part: pa.RecordBatch) -> list[dict[int, tuple[int, int]]]:
@@ -334,14 +342,20 @@ def _found(index: ItemIndex, part: pa.RecordBatch) -> list[dict[int, tuple[int,
     return index.hits(codes, before)
 
 
-def _hit_lists(shared):
+def _add_hits(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            for part in slices(batch, limit=SEARCH_BYTES):
-                lists = [sorted((index.ids[k], d, s) for k, (d, s) in x.items()) for x in _found(index, part)]
-                columns = [pa.array([[h[c] for h in x] for x in lists], pa.list_(pa.int64())) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "item_ids", "edits", "at"])
+            for part in slices(batch):
+                before = zip(*[part.column(c).to_pylist() for c in _LISTS], strict=True)
+                rows = []
+                for old, new in zip(before, _found(index, part), strict=True):
+                    best: dict[int, tuple[int, int]] = {}
+                    for i, d, s in [*zip(*old, strict=True), *((index.ids[k], *hit) for k, hit in new.items())]:
+                        best[i] = min(best.get(i, (d, s)), (d, s))
+                    rows.append(sorted((i, *hit) for i, hit in best.items()))
+                lists = [pa.array([[h[c] for h in x] for x in rows], pa.list_(pa.int64())) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), *lists], names=["doc_id", "text", *_LISTS])
 
     return run
 
@@ -350,7 +364,7 @@ def _only_clean(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            for part in slices(batch, limit=SEARCH_BYTES):
+            for part in slices(batch):
                 yield part.filter(pa.array([not x for x in _found(index, part)], pa.bool_()))
 
     return run

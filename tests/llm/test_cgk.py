@@ -129,9 +129,36 @@ def test_documents(spark, odd, odd_rows, none):
 
 
 def test_blocks_of_items(spark, monkeypatch):
-    monkeypatch.setattr(cgk, "ITEM_BLOCK", 7)
-    items = [(k, " ".join(words(k, 15))) for k in range(30)]
-    benchmark = spark.createDataFrame(items, "item_id long, text string")
-    docs = documents(spark, [(k, t + " " + items[(k + 1) % 30][1], "en", "s") for k, t in items])
-    got = {r.doc_id: sorted(r.item_ids) for r in cgk.contamination(docs, benchmark).collect()}
-    assert got == {k: sorted([k, (k + 1) % 30]) for k in range(30)}
+    """One row a row, whatever the blocks: repeated and null ids, repeated items."""
+    items = [(k, " ".join(words(k, 15))) for k in range(8)]
+    benchmark = spark.createDataFrame([*items, (3, " ".join(words(99, 15))), (3, items[3][1])], "item_id long, text string")
+    rows = [(k % 5, t + " " + items[(k + 1) % 8][1], "en", "s") for k, t in items] + [(None, items[3][1], "en", "s"), (None, "x", "en", "s"), (None, None, "en", "s")]
+    docs = documents(spark, rows)
+
+    def got():
+        found = sorted(map(tuple, cgk.contamination(docs, benchmark).collect()), key=str)
+        return found, sorted(map(str, cgk.clean_rows(docs, benchmark).collect()))
+
+    whole = got()
+    assert len(whole[0]) == len(rows) and len(whole[1]) == 2
+    assert all(r[3] == sorted(set(r[3])) and len(r[3]) == r[2] == len(r[4]) == len(r[5]) for r in whole[0])
+    for block in (1, 3):
+        monkeypatch.setattr(cgk, "ITEM_BLOCK", block)
+        assert got() == whole
+
+
+def test_memory_of_a_long_text():
+    """Hashing and searching one long text takes a small multiple of its bytes."""
+    import tracemalloc
+
+    text = " ".join(words(5, 500_000, 5000))
+    long_word = "x" * 5_000_000
+    index = cgk.ItemIndex(cgk._items([(1, " ".join(words(6, 30)))]))
+    for column in (pa.array([text]), pa.array([long_word])):
+        size = len(column[0].as_py())
+        tracemalloc.start()
+        codes, before = cgk.word_codes(column)
+        index.hits(codes, before)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 20 * size, (peak, size)
