@@ -15,6 +15,8 @@ from encore.llm.statistics import NAMES, statistics
 
 #: Share of the pooled covariance, and of a multiple of the unit matrix, in each class's covariance.
 TO_POOLED, TO_UNIT = 0.5, 0.1
+#: Labelled rows that good_rows learns from, about, where there are more.
+SAMPLE = 100_000
 
 
 @dataclass
@@ -140,13 +142,27 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     )
 
 
-def good_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def sampled(labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
+    """About ``rows`` rows of (doc_id, label), all if there are no more: those whose id hashes low enough.
+
+    The bound follows from the count, so no row is moved or sorted to draw the sample.
+    """
+    share = min(1.0, rows / max(1, labels.count()))
+    return labels if share == 1 else labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < int(share * (1 << 32)))
+
+
+def good_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` (columns doc_id and text among them) that the classifier does not reject, all columns kept.
 
-    Texts are read twice (to learn, to filter) and never shuffled.
+    It learns as score_quality does, from about ``sample`` labelled rows at most (their ids are broadcast, the
+    bound is theirs): the statistics of other texts are computed once, to filter, and no text is
+    shuffled. Null and empty texts are judged as texts without words; repeated rows are judged each;
+    without labels of both kinds no row (0.5 or all 1) or every row (all 0) goes.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = fit(document_statistics(rows), labelled(labels, "quality", 3, 1))
+    known = sampled(stored(labelled(labels, "quality", 3, 1), "quality-labels"), sample)
+    taught = document_statistics(rows.join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi"))
+    model = fit(taught, F.broadcast(known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -55,6 +55,17 @@ def test_quality_held_out(spark):
     assert all(abs(again[r.doc_id] - r.score) < 1e-6 for r in got)
 
 
+def test_quality_learns_from_a_sample(spark, monkeypatch):
+    """The filter learns from a bounded sample of the labels, and judges every row."""
+    docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
+    whole = {r.doc_id for r in quality.good_rows(docs, labels).select("doc_id").collect()}
+    assert whole == {r.doc_id for r in quality.score_quality(docs, labels).filter("predicted = 1").collect()}
+    known = quality.labelled(labels, "quality", 3, 1)
+    assert 60 < quality.sampled(known, 100).count() < 140 and quality.sampled(known, 10**6).count() == known.count()
+    part = {r.doc_id for r in quality.good_rows(docs, labels, 150).select("doc_id").collect()}
+    assert len(part ^ whole) < 0.05 * docs.count()
+
+
 def test_quality_odd_rows(spark, odd, odd_rows, none, labels):
     got = quality.score_quality(odd, labels).collect()
     assert len(got) == len(odd_rows) and all(0 <= r.score <= 1 and r.held_out is not None for r in got)
