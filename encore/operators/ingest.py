@@ -9,7 +9,7 @@ per-record loop becomes per-row status columns:
 * ``_status``   -- ``error`` / ``duplicate`` / ``add`` (J7: the key is in the
   table already, or an earlier record in arrival order has it);
 * the import limit (L1) counts *added* records in arrival order: the N-th
-  added record's arrival key is a scalar subquery, rows after it are not
+  added record's arrival key is an order statistic (``selection.kth``), rows after it are not
   processed, except the one sampled record that trips the limit.
 
 Normalising (K5) gives four DataFrames; latest-per-key (W4) is ``max_by``
@@ -22,13 +22,15 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from encore.functions.records import parse_record_columns
+from encore.functions.records import UNREAD_TIME, parse_records
 from encore.functions.timefn import freeform_timestamp
-from encore.session import scratch_path
+from encore.operators.selection import keys_of, kth, not_after
 from encore.schema import Snowflake, conform
+from encore.session import scratch_path, ship_package
+from encore.sources import fs
 from encore.sources.files import ORDER_COLS
 
 KEY = ["timestamp", "track_id"]
@@ -72,6 +74,7 @@ class LoadPlan:
     rows: DataFrame  # every record with status columns
     added: DataFrame  # parsed rows that will be upserted
     options: LoadOptions
+    scratch: str | None = None  # folder of the written records
 
     def normalised(self) -> Snowflake:
         """K5 + W4: four tables from the added rows, latest record per id."""
@@ -119,11 +122,12 @@ class LoadPlan:
         return errs.orderBy(*ORDER_COLS).limit(n).select(*ORDER_COLS, *cols)
 
     def rejects(self) -> DataFrame:
-        """K8: every sampled record that could not be read, with its reason, file and place in it."""
+        """K8: every sampled record that could not be read: its file, its line or place, its reason and a digest of its content."""
         errs = self.rows.filter(F.col("_status") == "error")
         line = F.col("_line") if "_line" in errs.columns else F.lit(None).cast("long")
         return errs.select(
-            F.col(ORDER_COLS[0]).alias("file"), line.alias("line"), F.col("reject_reason").alias("reason"), "raw_timestamp"
+            F.col(ORDER_COLS[0]).alias("file"), line.alias("line"), F.col("reject_reason").alias("reason"), "raw_timestamp",
+            F.col("_content").alias("content"),
         )
 
     def check_errors(self) -> None:
@@ -136,6 +140,16 @@ class LoadPlan:
             where = f"Line {row['_line']}: " if row.get("_line") is not None else ""
             raise ValueError(where + row["reject_reason"])
 
+    def release(self) -> None:
+        """Delete the written records; the plan, and what it has returned, cannot be read afterwards."""
+        if self.scratch is not None:
+            fs.delete(self.rows.sparkSession, self.scratch)
+
+
+def _unread(rows: DataFrame) -> Column:
+    """Records whose only fault is a time that no native layout reads."""
+    return F.coalesce(F.col("reject_reason").startswith(UNREAD_TIME), F.lit(False))
+
 
 def _freeform_repair(rows: DataFrame) -> DataFrame:
     """F6 tail: run the free-form parser once per *distinct* unreadable timestamp text.
@@ -143,12 +157,8 @@ def _freeform_repair(rows: DataFrame) -> DataFrame:
     Rows the native layouts read never touch Python; the (usually tiny) set of
     failures is parsed and joined back only to the failing rows.
     """
-    bad = F.coalesce(
-        F.col("timestamp").isNull()
-        & F.col("raw_timestamp").isNotNull()
-        & F.col("reject_reason").startswith("Invalid timestamp"),
-        F.lit(False),
-    )
+    ship_package(rows.sparkSession)
+    bad = _unread(rows)
     failed = rows.filter(bad)
     fixes = failed.select("raw_timestamp").distinct().withColumn(
         "_fixed", freeform_timestamp(F.trim(F.col("raw_timestamp")))
@@ -162,6 +172,22 @@ def _freeform_repair(rows: DataFrame) -> DataFrame:
     return rows.filter(~bad).unionByName(repaired)
 
 
+def _mark_again(keyed: DataFrame, existing_plays: DataFrame | None) -> DataFrame:
+    """``_again`` where an earlier record, or the table, has the key.
+
+    Keys are counted first (a partial aggregate, so a key repeated without end is one row a task);
+    only the keys that repeat are looked at again for their first arrival.
+    """
+    repeated = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*KEY)
+    first = keyed.select(*KEY, _arrival().alias("_a")).join(repeated, KEY, "left_semi").groupBy(*KEY).agg(F.min("_a").alias("_first"))
+    keyed = keyed.join(first, KEY, "left").withColumn("_again", F.coalesce(_arrival() != F.col("_first"), F.lit(False))).drop("_first")
+    if existing_plays is not None:
+        seen = existing_plays.select(*KEY).distinct().withColumn("_exists", F.lit(True))
+        keyed = keyed.join(seen, KEY, "left")
+        keyed = keyed.withColumn("_again", F.col("_again") | F.coalesce(F.col("_exists"), F.lit(False))).drop("_exists")
+    return keyed
+
+
 def plan_load(
     records: DataFrame,
     options: LoadOptions = LoadOptions(),
@@ -169,43 +195,38 @@ def plan_load(
 ) -> LoadPlan:
     """K4: the loader as a plan over ``records(fields map, parse_error, _file, _block, _pos)``."""
     options.validate()
-    extra = [c for c in ("_line",) if c in records.columns]
-    parsed_cols = parse_record_columns(F.col("fields"), id_mode=options.id_mode, freeform=False)
-    reason = F.coalesce(F.col("parse_error"), parsed_cols.pop("reject_reason"))
-    rows = records.select(
-        *ORDER_COLS, *extra, *[c.alias(n) for n, c in parsed_cols.items()], reason.alias("reject_reason"),
-        F.col("fields"),
-    )
+    spark = records.sparkSession
+    carried = [*ORDER_COLS, *[c for c in ("_line",) if c in records.columns]]
+    sampled = F.lit(True)
     if options.sample is not None:
-        content = [F.to_json(F.col("fields"))]
-        rows = rows.withColumn("_sampled", F.coalesce(sample_keep(content, options.sample, options.seed), F.lit(False)))
-    else:
-        rows = rows.withColumn("_sampled", F.lit(True))
-    rows = rows.drop("fields")
+        sampled = F.coalesce(sample_keep([F.to_json(F.col("fields"))], options.sample, options.seed), F.lit(False))
+    staged = records.select(*carried, "fields", "parse_error", sampled.alias("_sampled"))
+    rows = parse_records(staged, id_mode=options.id_mode, keep=[*carried, "fields", "parse_error", "_sampled"])
+    rows = rows.withColumn("reject_reason", F.coalesce("parse_error", "reject_reason"))
+    content = F.md5(F.coalesce(F.to_json("fields"), F.lit("")))
+    rows = rows.withColumn("_content", F.when(F.col("reject_reason").isNotNull(), content)).drop("fields", "parse_error")
+    valid = F.col("_sampled") & F.col("reject_reason").isNull()
+    scratch, any_unread, any_invalid = None, True, True
     if options.materialize:
         # Cut lineage once: the parsed records are written as a Parquet table
         # in the shared checkpoint folder (computed once, columnar) and every
-        # later step (dedup, limit, summary, the four tables) reads it.
-        spark = rows.sparkSession
-        path = scratch_path(spark, "loads", uuid.uuid4().hex)
-        rows.write.parquet(path)
-        rows = spark.read.parquet(path)
-    if options.freeform:
+        # later step (dedup, limit, summary, the four tables) reads it. The write counts
+        # what later steps are needed for.
+        scratch = scratch_path(spark, "loads", uuid.uuid4().hex)
+        seen = Observation("load")
+        counts = [F.count_if(_unread(rows)).alias("unread"), F.count_if(~valid).alias("invalid")]
+        rows.observe(seen, *counts).write.parquet(scratch)
+        rows = spark.read.schema(rows.schema).parquet(scratch)
+        any_unread, any_invalid = seen.get["unread"] > 0, seen.get["invalid"] > 0
+    if options.freeform and any_unread:
         rows = _freeform_repair(rows)
 
-    valid = F.col("_sampled") & F.col("reject_reason").isNull()
     is_dup = F.lit(False)
     if options.no_duplicates:
         # First occurrence of each key among valid records, in arrival order. Other records have
         # no key: they are set aside, so that none meets at a null.
-        keyed, others = rows.filter(valid), rows.filter(~valid)
-        first = F.min(_arrival()).over(Window.partitionBy(*KEY))
-        keyed = keyed.withColumn("_again", _arrival() != first)
-        if existing_plays is not None:
-            seen = existing_plays.select(*KEY).distinct().withColumn("_exists", F.lit(True))
-            keyed = keyed.join(seen, KEY, "left")
-            keyed = keyed.withColumn("_again", F.col("_again") | F.coalesce(F.col("_exists"), F.lit(False))).drop("_exists")
-        rows = keyed.unionByName(others.withColumn("_again", F.lit(False)))
+        keyed = _mark_again(rows.filter(valid) if any_invalid else rows, existing_plays)
+        rows = keyed.unionByName(rows.filter(~valid).withColumn("_again", F.lit(False))) if any_invalid else keyed
         is_dup = F.col("_again")
     status = (
         F.when(~F.col("_sampled"), F.lit("unsampled"))
@@ -216,14 +237,10 @@ def plan_load(
     rows = rows.withColumn("_status", status).drop("_again")
 
     if options.limit is not None:
-        k = int(options.limit)
-        if k == 0:
-            within = F.lit(False)
-        else:
-            adds = rows.filter(F.col("_status") == "add").select(_arrival().alias("a"))
-            cutoff = adds.orderBy("a").limit(k).select(F.max("a")).scalar()
-            reached = adds.select(F.count(F.lit(1))).scalar() >= F.lit(k)
-            within = F.when(reached, _arrival() <= cutoff).otherwise(F.lit(True))
+        k, keys = int(options.limit), keys_of(*ORDER_COLS)
+        # L1: where the k-th added record arrives, found by counts between sampled keys
+        last = kth(rows.filter(F.col("_status") == "add"), keys, k) if k else None
+        within = F.lit(False) if k == 0 else F.lit(True) if last is None else not_after(keys, last)
         # The first sampled record past the cutoff trips the limit; records up
         # to it count as processed (the reference reads it, then stops).
         rows = rows.withColumn("_within", within)
@@ -241,7 +258,7 @@ def plan_load(
         rows = rows.withColumn("_trips_limit", F.lit(False)).withColumn("_processed", F.lit(True))
     rows = rows.withColumn("_status", F.when(F.col("_status") == "add", F.lit("added")).otherwise(F.col("_status")))
     added = rows.filter(F.col("_status") == "added")
-    return LoadPlan(rows=rows, added=added, options=options)
+    return LoadPlan(rows=rows, added=added, options=options, scratch=scratch)
 
 
 def dry_run(records: DataFrame, options: LoadOptions = LoadOptions(), existing_plays: DataFrame | None = None) -> DataFrame:

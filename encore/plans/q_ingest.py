@@ -7,6 +7,7 @@ parse -> sample -> dedup -> normalise plan as files do.
 
 from __future__ import annotations
 
+from encore.functions.records import UNREAD_TIME
 from encore.operators.ingest import LoadOptions, dry_run, lineitem_records, plan_load
 from encore.plans.registry import register
 
@@ -88,7 +89,7 @@ def q_load_dry_run(spark, sf_dir):
 SPOILT_SQL = (
     RECORDS_SQL
     + """, s AS (SELECT *, l_orderkey % 9 AS k FROM recs)
-SELECT CASE k WHEN 0 THEN 'Missing required field: artist' ELSE 'Invalid timestamp' END AS reason, COUNT(*) AS n
+SELECT CASE k WHEN 0 THEN 'artist is missing' ELSE 'unread time' END AS reason, COUNT(*) AS n
 FROM s WHERE k IN (0, 3, 6) GROUP BY 1"""
 )
 
@@ -107,7 +108,7 @@ def q_load_rejects(spark, sf_dir):
     )
     records = lineitem_records(spark, sf_dir).withColumn("fields", named)
     rejects = plan_load(records, LoadOptions(skip_errors=True)).rejects()
-    reason = F.when(F.col("reason").startswith("Invalid timestamp"), "Invalid timestamp").otherwise(F.col("reason"))
+    reason = F.when(F.col("reason").startswith(UNREAD_TIME), "unread time").otherwise(F.col("reason"))
     return rejects.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan in the package assumes.
 SESSION_DEFAULTS = {
@@ -115,3 +116,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for written tables)."""
     return os.path.join(checkpoint_dir(spark), *parts)
+
+
+def written_at(df: DataFrame, *parts: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table under the shared checkpoint folder, read back, and its folder: computed once, lineage ends there."""
+    path = scratch_path(df.sparkSession, *parts, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, *parts: str) -> DataFrame:
+    return written_at(df, *parts)[0]

@@ -9,9 +9,13 @@ semantics (import limit, last write wins) do not depend on partitioning.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from encore.sources import fs
 
 ORDER_COLS = ["_file", "_block", "_pos"]
 
@@ -53,7 +57,7 @@ def parse_json_lines(text: DataFrame) -> DataFrame:
     return lines.select(fields.alias("fields"), error.alias("parse_error"), *[c for c in text.columns if c != "value"])
 
 
-def read_jsonl(spark: SparkSession, path: str, line_numbers: bool = True) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str | list[str], line_numbers: bool = True) -> DataFrame:
     """One JSON object per line; blank lines skipped; others flagged."""
     text = _with_order(spark.read.text(path))
     if line_numbers:
@@ -61,28 +65,52 @@ def read_jsonl(spark: SparkSession, path: str, line_numbers: bool = True) -> Dat
     return parse_json_lines(text).select("fields", "parse_error", *ORDER_COLS, *(["_line"] if line_numbers else []))
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """CSV/TSV with a header row, quoted fields, any column order; all text."""
-    df = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", True)
-        .option("encoding", encoding)
-        .option("inferSchema", False)
-        .csv(path)
-    )
-    df = _with_order(df)
-    cols = [c for c in df.columns if c not in ORDER_COLS]
-    pairs = []
-    for c in cols:
-        pairs += [F.lit(c), F.col(f"`{c}`").cast("string")]
-    fields = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.create_map()
-    return df.select(fields.alias("fields"), F.lit(None).cast("string").alias("parse_error"), *ORDER_COLS)
+#: Names of the columns that hold a row's text if it is broken, and a cell beyond the header's.
+BROKEN, BEYOND = "_broken_row", "_cell_beyond"
+
 
+def read_delimited(
+    spark: SparkSession, path: str | list[str], sep: str = ",", encoding: str = "UTF-8", multiline: bool = True
+) -> DataFrame:
+    """CSV/TSV with a header row, quoted fields, any column order; all text.
 
-def read_history_xml(spark: SparkSession, path: str) -> DataFrame:
+    Each file has its own header; files with the same one are read together. ``_line`` is the
+    record's number plus one for the header, so the line if no quoted cell holds a line break. A row
+    with more cells than the header has, or with an open quote, gets a ``parse_error``; one with fewer
+    lacks the last fields. ``multiline`` (line breaks inside quotes) reads a file in one task;
+    without it large files are split.
+    """
+    paths = [path] if isinstance(path, str) else path
+    headers: dict[str, list[str]] = {}
+    for file in [f for p in paths for f in fs.files_in(spark, p)]:
+        headers.setdefault(fs.first_line(spark, file, encoding), []).append(file)
+    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "encoding": encoding, "multiLine": multiline}
+    parts = [_delimited(spark, files, {k: str(v) for k, v in options.items()}) for files in headers.values()]
+    if not parts:
+        raise ValueError(f"no file at {path}")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _delimited(spark: SparkSession, files: list[str], options: dict[str, str]) -> DataFrame:
+    """Files with one header."""
+    names = spark.read.options(**options).csv(files[0]).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BROKEN]])
+    rows = spark.read.schema(schema).options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN, enforceSchema="true").csv(files)
+    rows = with_line_numbers(_with_order(rows)).withColumn("_line", F.col("_line") + 1)
+    if not names:
+        fields = F.create_map().cast("map<string,string>")
+    else:
+        pairs = [x for n in names for x in (F.lit(n), F.col(f"`{n}`"))]
+        fields = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
+    # a broken row's cells once more, with room for one beyond the header
+    wide = ", ".join(f"c{i} string" for i in range(len(names))) + (", " if names else "") + f"{BEYOND} string"
+    cells = F.from_csv(F.col(BROKEN), F.lit(wide), {k: options[k] for k in ("sep", "quote", "escape", "multiLine")} | {"nullValue": "\u0001", "emptyValue": ""})
+    open_quote = F.length(F.regexp_replace(BROKEN, '[^"]', "")) % 2 == 1
+    error = F.when(cells[BEYOND].isNotNull(), F.lit("more cells than the header has")).when(open_quote, F.lit("a quote is not closed"))
+    return rows.select(F.when(error.isNull(), fields).alias("fields"), error.alias("parse_error"), *ORDER_COLS, "_line")
+
+
+def read_history_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Landed history pages, one ``<track>`` element per play.
 
     Attributes arrive as ``_mbid``/``_uts``; an element with only an
@@ -115,8 +143,10 @@ def read_history_xml(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detect_format(first_line: str) -> str:
-    """S3: ``{`` + valid JSON -> jsonl; a tab -> tsv; a comma -> csv; else jsonl."""
-    stripped = first_line.strip()
+    """S3: ``{`` + valid JSON -> jsonl; a tab -> tsv; a comma -> csv; else jsonl. A tag opens a history page (xml)."""
+    stripped = first_line.strip().removeprefix("\ufeff")
+    if stripped.startswith("<"):
+        return "xml"
     if stripped.startswith("{"):
         try:
             json.loads(stripped)
@@ -130,20 +160,40 @@ def detect_format(first_line: str) -> str:
     return "jsonl"
 
 
-def read_records(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
-    """Read any supported record file; ``auto`` peeks at the first line (one row)."""
-    if fmt == "auto":
-        first = spark.read.text(path).limit(1).collect()
-        fmt = detect_format(first[0].value if first else "")
+#: Format by the end of a file's name; other files are told by their first line.
+EXTENSIONS = {".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "jsonl", ".csv": "csv", ".tsv": "tsv", ".xml": "xml"}
+
+
+def format_of(spark: SparkSession, file: str) -> str:
+    name = file.rsplit("/", 1)[-1].lower().removesuffix(".gz")
+    found = next((f for end, f in EXTENSIONS.items() if name.endswith(end)), None)
+    return found or detect_format(fs.first_line(spark, file))
+
+
+def read_files(spark: SparkSession, files: list[str], fmt: str) -> DataFrame:
+    """Record files of one format."""
     if fmt == "jsonl":
-        return read_jsonl(spark, path)
-    if fmt == "csv":
-        return read_delimited(spark, path, ",")
-    if fmt == "tsv":
-        return read_delimited(spark, path, "\t")
+        return read_jsonl(spark, files)
+    if fmt in ("csv", "tsv"):
+        return read_delimited(spark, files, "," if fmt == "csv" else "\t")
     if fmt == "xml":
-        return read_history_xml(spark, path)
-    raise ValueError(f"Unknown format: {fmt}")
+        return read_history_xml(spark, files).withColumn("_line", F.lit(None).cast("long"))
+    raise ValueError(f"unknown record format: {fmt}")
+
+
+def read_routed(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Record files of any formats, each read by its own; arrival order is by file name, whatever the format."""
+    by_format: dict[str, list[str]] = {}
+    for f in files:
+        by_format.setdefault(format_of(spark, f), []).append(f)
+    return reduce(DataFrame.unionByName, [read_files(spark, own, fmt) for fmt, own in sorted(by_format.items())])
+
+
+def read_records(spark: SparkSession, path: str, fmt: str = "auto") -> DataFrame:
+    """Read any supported record file, or folder of them; ``auto`` tells each file's format."""
+    if fmt == "auto":
+        return read_routed(spark, fs.files_in(spark, path))
+    return read_files(spark, [path], fmt)
 
 
 def flatten_struct(df: DataFrame, sep: str = "_") -> DataFrame:
