@@ -16,22 +16,26 @@ from encore.llm.vectors import lists_of, scaled
 #: Factor before rounding down, results a query, and the divisor of the query ids.
 FACTOR, TOP, EVERY = 64, 20, 20
 #: Queries of one pass over the candidates; queries and candidates whose scores a task holds at a time.
-QUERY_BLOCK, QUERY_SLICE, ROW_SLICE = 4096, 512, 1024
+QUERY_BLOCK, QUERY_SLICE, ROW_SLICE = 4096, 64, 1024
+
+#: Who has a term, and with what weight; without owners everyone does, some with weight 0.
+Posting = tuple[np.ndarray | None, np.ndarray]
 
 
 class Queries:
-    """A block of sparse query rows, by term: for each slice of queries and term, the queries that have it and their weights."""
+    """A block of sparse query rows, cut into slices, each by term."""
 
     def __init__(self, numbers: np.ndarray, lengths: np.ndarray, values: np.ndarray):
         self.numbers = numbers
         self.largest = int(np.abs(values).max(initial=0))
-        owner, term = np.repeat(np.arange(len(lengths)), lengths), places(lengths)
-        some = values != 0
-        owner, term, values = owner[some], term[some], values[some]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
         self.slices = []
         for lo in range(0, len(lengths), QUERY_SLICE):
-            own = (owner >= lo) & (owner < lo + QUERY_SLICE)
-            self.slices.append((lo, min(lo + QUERY_SLICE, len(lengths)), by_term(owner[own] - lo, term[own], values[own])))
+            hi = min(lo + QUERY_SLICE, len(lengths))
+            self.slices.append((lo, hi, postings(lengths[lo:hi], values[ends[lo] : ends[hi]])))
+
+    def terms(self, kind: type) -> list[tuple[int, int, dict[int, Posting]]]:
+        return [(lo, hi, {t: (own, w.astype(kind)) for t, (own, w) in terms.items()}) for lo, hi, terms in self.slices]
 
 
 def places(lengths: np.ndarray) -> np.ndarray:
@@ -39,29 +43,38 @@ def places(lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def by_term(owner: np.ndarray, term: np.ndarray, values: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Postings: for each term the owners that have it and their weights."""
+def postings(lengths: np.ndarray, values: np.ndarray) -> dict[int, Posting]:
+    """For each term, those of the rows that have it and their weights; as one weight a row where most have it."""
+    some = values != 0
+    owner, term = np.repeat(np.arange(len(lengths)), lengths)[some], places(lengths)[some]
     order = np.argsort(term, kind="stable")
     terms, at = np.unique(term[order], return_index=True)
-    ends = np.append(at, len(order))
-    return {int(t): (owner[order[a:b]], values[order[a:b]]) for t, a, b in zip(terms, ends[:-1], ends[1:], strict=True)}
+    owner, weight = owner[order], values[some][order]
+    out: dict[int, Posting] = {}
+    for t, a, b in zip(terms.tolist(), at, np.append(at, len(order))[1:], strict=True):
+        if 2 * (b - a) > len(lengths):
+            dense = np.zeros(len(lengths), np.int64)
+            dense[owner[a:b]] = weight[a:b]
+            out[t] = None, dense
+        else:
+            out[t] = owner[a:b], weight[a:b]
+    return out
 
 
-def accumulate(queries: dict, postings: dict, shape: tuple[int, int], kind: type) -> np.ndarray:
-    """Dense scores (candidates by queries): each term that both sides have adds the products of its weights."""
-    scores = np.zeros(shape, kind)
-    for t, (cols, weights) in queries.items():
-        if t not in postings:
+def accumulate(queries: dict[int, Posting], rows: dict[int, Posting], scores: np.ndarray, room: np.ndarray) -> None:
+    """Add to ``scores`` (queries by candidates), a term at a time, the products of the weights of a term that both have."""
+    for t, (of, weights) in queries.items():
+        if t not in rows:
             continue
-        rows, own = postings[t]
-        part = own.astype(kind)[:, None] * weights.astype(kind)[None, :]
-        if len(rows) == shape[0] and len(cols) == shape[1]:
-            scores += part
-        elif len(cols) == shape[1]:
-            scores[rows] += part
+        at, own = rows[t]
+        if of is None and at is None:
+            scores += np.multiply(weights[:, None], own[None, :], out=room)
+        elif of is None:
+            scores[:, at] += weights[:, None] * own[None, :]
+        elif at is None:
+            scores[of] += weights[:, None] * own[None, :]
         else:
-            scores[rows[:, None], cols[None, :]] += part
-    return scores
+            scores[of[:, None], at[None, :]] += weights[:, None] * own[None, :]
 
 
 class Best:
@@ -69,53 +82,61 @@ class Best:
 
     def __init__(self, queries: int, keep: int):
         self.keep = keep
-        self.score = np.full((queries, keep), np.iinfo(np.int64).min, np.int64)
+        self.score = np.full((queries, keep), -(2**62), np.int64)
         self.kind = np.full((queries, keep), 2, np.int8)
         self.id = np.zeros((queries, keep), np.int64)
 
     def add(self, lo: int, hi: int, scores: np.ndarray, ids: np.ndarray, no_id: np.ndarray) -> None:
-        """Scores (candidates by queries lo..hi) of candidates in the order of their ids."""
-        n = len(scores)
+        """Scores (queries lo..hi by candidates) of candidates in the order of their ids."""
+        n = scores.shape[1]
         # the order of ids within the key settles ties, so that a plain partition selects exactly
-        key = scores.T.astype(np.int64) * n + (n - 1 - np.arange(n))
+        kind = np.int32 if scores.dtype == np.int16 else np.int64
+        key = scores.astype(kind) * kind(n) + np.arange(n - 1, -1, -1, dtype=kind)
         few = min(self.keep, n)
         at = np.argpartition(key, n - few, axis=1)[:, n - few :]
-        score = np.concatenate([self.score[lo:hi], np.take_along_axis(scores.T, at, axis=1)], axis=1)
+        score = np.concatenate([self.score[lo:hi], np.take_along_axis(scores, at, axis=1).astype(np.int64)], axis=1)
         kind = np.concatenate([self.kind[lo:hi], no_id[at]], axis=1)
         own = np.concatenate([self.id[lo:hi], ids[at]], axis=1)
-        order = np.lexsort(np.stack([own, kind, -np.maximum(score, -(2**62))]), axis=1)[:, : self.keep]
+        order = np.lexsort(np.stack([own, kind, -score]), axis=1)[:, : self.keep]
         for name, value in (("score", score), ("kind", kind), ("id", own)):
             getattr(self, name)[lo:hi] = np.take_along_axis(value, order, axis=1)
 
 
+def _kind(bound: int) -> type:
+    """The narrowest whole numbers that hold sums up to ``bound``, and keys of them."""
+    if bound * ROW_SLICE >= 1 << 62:
+        raise ValueError("an inner product may exceed a long")
+    return np.int16 if bound < 1 << 15 else np.int32 if bound < 1 << 31 else np.int64
+
+
 def _best_rows(shared, top: int, factor: int):
     """A task's best ``top`` + 1 candidates of every query of the block, the query's own row among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = shared.value
         best = Best(len(queries.numbers), top + 1)
+        held: dict[type, list] = {}
         for batch in batches:
             rows, lengths, values = scaled(batch.column("vector"), factor)
             ids = batch.column("vec_id").take(pa.array(rows))
             no_id = ids.is_null().to_numpy(zero_copy_only=False).astype(np.int8)
             ids = ids.fill_null(0).to_numpy()
             ends = np.concatenate([[0], np.cumsum(lengths)])
-            bound = int(lengths.max(initial=0)) * int(np.abs(values).max(initial=0)) * queries.largest
-            if bound * ROW_SLICE >= 1 << 62:
-                raise ValueError("an inner product may exceed a long")
-            kind = np.int32 if bound < 1 << 31 else np.int64
+            kind = _kind(int(lengths.max(initial=0)) * int(np.abs(values).max(initial=0)) * queries.largest)
+            if kind not in held:
+                held[kind] = queries.terms(kind)
             order = np.lexsort((ids, no_id))
             for at in range(0, len(order), ROW_SLICE):
                 own = order[at : at + ROW_SLICE]
                 n = lengths[own]
-                term = places(n)
-                weight = values[np.repeat(ends[own], n) + term]
-                some = weight != 0
-                postings = by_term(np.repeat(np.arange(len(own)), n)[some], term[some], weight[some])
-                for lo, hi, terms in queries.slices:
-                    best.add(lo, hi, accumulate(terms, postings, (len(own), hi - lo), kind), ids[own], no_id[own])
-        for lo in range(0, len(queries.numbers), QUERY_SLICE):
-            part = slice(lo, lo + QUERY_SLICE)
+                found = postings(n, values[np.repeat(ends[own], n) + places(n)])
+                found = {t: (o, w.astype(kind)) for t, (o, w) in found.items()}
+                for lo, hi, terms in held[kind]:
+                    scores = np.zeros((hi - lo, len(own)), kind)
+                    accumulate(terms, found, scores, np.empty_like(scores))
+                    best.add(lo, hi, scores, ids[own], no_id[own])
+        for lo in range(0, len(queries.numbers), 512):
+            part = slice(lo, lo + 512)
             there = best.kind[part] < 2
             number = np.broadcast_to(queries.numbers[part, None], there.shape)[there]
             yield pa.RecordBatch.from_arrays(
