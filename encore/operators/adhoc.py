@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from encore.operators.store import SnowflakeStore
 from encore.schema import Snowflake
 
 _ORDER_ITEM = re.compile(r"^\s*(`[^`]+`|\[[^\]]+\]|\"[^\"]+\"|[A-Za-z_][A-Za-z0-9_]*)\s*(asc|desc)?\s*$", re.I)
@@ -24,6 +25,13 @@ def register_snowflake(s: Snowflake, prefix: str = "") -> None:
     s.register(prefix)
 
 
+def attach(spark: SparkSession, alias: str, root: str) -> Snowflake:
+    """The store at ``root`` as the views ``{alias}_artists`` etc., beside whatever is registered already."""
+    s = SnowflakeStore(spark, root).read()
+    register_snowflake(s, f"{alias}_")
+    return s
+
+
 def register_functions(spark: SparkSession, functions: dict[str, Callable], return_type="string") -> None:
     """User SQL functions from Python callables (no code text is executed)."""
     for name, fn in functions.items():

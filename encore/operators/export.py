@@ -92,10 +92,10 @@ def sample_rows(df: DataFrame, fraction: float, seed: int | None = None) -> Data
     """P13 for export: keep a row iff a seeded hash of its values is below ``fraction``.
 
     The decision depends only on the row's content, so the same seed gives
-    the same sample under any partitioning.
+    the same sample under any partitioning. A fraction of 0 would export nothing, and is refused.
     """
-    if not (0.0 <= fraction <= 1.0):
-        raise ValueError("sample must be between 0.0 and 1.0")
+    if not (0.0 < fraction <= 1.0):
+        raise ValueError(f"an export can sample a share above 0, up to 1, not {fraction}")
     content = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed if seed is not None else 0)), content))
     bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
@@ -111,7 +111,7 @@ def prepare_export(
 ) -> DataFrame:
     """P9 columns, L7 limit, then P13 sample (sampling after the limit)."""
     if seed is not None and sample is None:
-        raise ValueError("--seed requires --sample")
+        raise ValueError("a seed is of use only with a share to sample")
     if columns:
         missing = [c for c in columns if c not in df.columns]
         if missing:

@@ -49,11 +49,11 @@ class LoadOptions:
 
     def validate(self) -> None:
         if self.sample is not None and not (0.0 <= self.sample <= 1.0):
-            raise ValueError("sample must be between 0.0 and 1.0")
+            raise ValueError(f"an import can sample a share from 0 to 1, not {self.sample}")
         if self.seed is not None and self.sample is None:
-            raise ValueError("seed requires sample")
+            raise ValueError("a seed is of use only with a share to sample")
         if self.limit is not None and self.limit < 0:
-            raise ValueError("limit must be non-negative")
+            raise ValueError("a limit cannot be below 0")
 
 
 def sample_keep(keys: list[Column], fraction: float, seed: int | None) -> Column:

@@ -18,6 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from encore.operators.selection import Key
+from encore.session import written
+
 DEFAULT_SPLIT_BUCKETS = 64
 
 
@@ -60,6 +63,18 @@ def top_k_per_group(
     return out.drop("_rn")
 
 
-def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
-    """L3: one page of a sorted result."""
-    return df.orderBy(*order).offset(max(0, int(offset))).limit(int(limit))
+def positions(df: DataFrame, group: Sequence[str], keys: Sequence[Key], name: str = "position", first: int = 1) -> DataFrame:
+    """Number the rows of each group from ``first`` in the order of ``keys``, a group of any size over many tasks.
+
+    Rows are dealt out by ranges of (group, keys) and written once with their range; a range
+    numbers its own rows, and the ranges of a group meet as one count each. Groups must not be null.
+    """
+    order = [k.order for k in keys]
+    ranged = df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_range", F.spark_partition_id())
+    ranged = written(ranged, "positions")
+    counts = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
+    numbered = ranged.withColumn("_inside", inside).join(counts, [*group, "_range"])
+    return numbered.withColumn(name, (F.col("_before") + F.col("_inside") + (first - 1)).cast("int")).drop("_range", "_inside", "_before")

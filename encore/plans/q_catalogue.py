@@ -188,13 +188,8 @@ SELECT per.album_id, al.title AS album_title,
 FROM per JOIN albums al ON per.album_id = al.id""",
 )
 def q_album_show(spark, sf_dir):
-    """The nested documents, exploded for comparison."""
-    from pyspark.sql import functions as F
-
-    docs = cat.album_show(binding_a(spark, sf_dir))
-    return docs.select(
-        "album_id", "album_title", F.col("play_count").alias("album_plays"), F.posexplode("tracks").alias("position", "t")
-    ).select("album_id", "album_title", "album_plays", "position", "t.*")
+    """The documents of all albums, a row a track."""
+    return cat.album_show_rows(binding_a(spark, sf_dir))
 
 
 @register(
@@ -288,6 +283,38 @@ def q_browse_tracks(spark, sf_dir):
     )
 
 
+# Pages of 3 tracks: the first, the 500th, and the last.
+PAGE = 3
+
+
+@register(
+    "browse_pages",
+    A
+    + f"""
+, rows AS (SELECT COUNT(p."timestamp") AS play_count, t.id AS track_id, t.title AS track_title
+{TRACK_LEFT}
+GROUP BY t.id, t.title),
+placed AS (SELECT *, (ROW_NUMBER() OVER (ORDER BY play_count DESC, track_id) - 1) // {PAGE} + 1 AS page,
+                  (SELECT COUNT(*) FROM rows) AS n FROM rows)
+SELECT CAST(page AS INTEGER) AS page, track_id, track_title, play_count FROM placed
+WHERE page IN (1, 500, (n + {PAGE - 1}) // {PAGE})""",
+)
+def q_browse_pages(spark, sf_dir):
+    """L3: deep pages, each found by counts between sampled keys; no task sorts more than 100 rows."""
+    from functools import reduce
+
+    from pyspark.sql import DataFrame
+    from pyspark.sql import functions as F
+
+    s = binding_a(spark, sf_dir)
+    total = cat.browse_total(s).first().total
+    parts = [
+        cat.browse_tracks(s, (page - 1) * PAGE, PAGE, range_rows=100).select(F.lit(page).alias("page"), "track_id", "track_title", "play_count")
+        for page in sorted({1, 500, -(-total // PAGE)})
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register(
     "browse_total",
     A

@@ -8,39 +8,50 @@ from encore.sources.tables import BINDING_A_SQL as A
 from encore.sources.tables import binding_a
 
 
+TABLES = {"artists": ["id", "name"], "albums": ["id", "title", "artist_id"], "tracks": ["id", "title", "album_id"], "plays": ["timestamp", "track_id"]}
+
+
+def _each_column(text: str) -> str:
+    """``text`` for every column (c, as text v) of every table (t), in a union."""
+    return "\nUNION ALL\n".join(
+        text.format(t=t, c=c, v=f'CAST("{c}" AS VARCHAR)') for t, columns in TABLES.items() for c in columns
+    )
+
+
+def _tables(spark, sf_dir):
+    s = binding_a(spark, sf_dir)
+    return {t: s.table(t) for t in TABLES}
+
+
 @register(
     "analyze_tables",
     A
-    + """
-SELECT 'tracks' AS table_name, c AS column_name, total_rows, num_null, num_blank, num_distinct FROM (
-  SELECT 'id' AS c, COUNT(*) AS total_rows, COUNT(*) - COUNT(id) AS num_null,
-         COUNT_IF(id = '') AS num_blank, COUNT(DISTINCT id) AS num_distinct FROM tracks
-  UNION ALL
-  SELECT 'title', COUNT(*), COUNT(*) - COUNT(title), COUNT_IF(title = ''), COUNT(DISTINCT title) FROM tracks
-  UNION ALL
-  SELECT 'album_id', COUNT(*), COUNT(*) - COUNT(album_id), COUNT_IF(album_id = ''), COUNT(DISTINCT album_id) FROM tracks)""",
+    + _each_column(
+        """SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) AS total_rows, COUNT(*) - COUNT("{c}") AS num_null,
+       COUNT_IF({v} = '') AS num_blank, COUNT(DISTINCT "{c}") AS num_distinct FROM {t}"""
+    ),
 )
 def q_analyze_tables(spark, sf_dir):
-    return profile.analyze_columns(binding_a(spark, sf_dir).tracks, "tracks")
+    return profile.analyze_database(_tables(spark, sf_dir))
 
 
 @register(
     "analyze_common",
     A
-    + """
-, v AS (SELECT 'album_id' AS column_name, album_id AS value FROM tracks
-        UNION ALL SELECT 'title', title FROM tracks),
-c AS (SELECT column_name, value, COUNT(*) AS count FROM v GROUP BY column_name, value),
-m AS (SELECT 'tracks' AS table_name, column_name, 'most' AS kind,
-             CAST(ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY count DESC, value ASC NULLS FIRST) AS INTEGER) AS rank,
+    + ", v AS ("
+    + _each_column("SELECT '{t}' AS table_name, '{c}' AS column_name, {v} AS value FROM {t}")
+    + """),
+c AS (SELECT table_name, column_name, value, COUNT(*) AS count FROM v GROUP BY ALL),
+m AS (SELECT table_name, column_name, 'most' AS kind,
+             CAST(ROW_NUMBER() OVER (PARTITION BY table_name, column_name ORDER BY count DESC, value ASC NULLS FIRST) AS INTEGER) AS rank,
              value, count FROM c),
-l AS (SELECT 'tracks' AS table_name, column_name, 'least' AS kind,
-             CAST(ROW_NUMBER() OVER (PARTITION BY column_name ORDER BY count ASC, value ASC NULLS FIRST) AS INTEGER) AS rank,
+l AS (SELECT table_name, column_name, 'least' AS kind,
+             CAST(ROW_NUMBER() OVER (PARTITION BY table_name, column_name ORDER BY count ASC, value ASC NULLS FIRST) AS INTEGER) AS rank,
              value, count FROM c)
 SELECT * FROM m WHERE rank <= 10 UNION ALL SELECT * FROM l WHERE rank <= 10""",
 )
 def q_analyze_common(spark, sf_dir):
-    return profile.common_values(binding_a(spark, sf_dir).tracks, "tracks", ["album_id", "title"], limit=10)
+    return profile.common_database(_tables(spark, sf_dir), limit=10)
 
 
 @register(
@@ -79,6 +90,30 @@ def q_sql_query(spark, sf_dir):
     return adhoc.sql_query(spark, SQL_TEXT.format(since=":since"), {"since": dt.datetime(1998, 1, 1)})
 
 
+ATTACHED_SQL = """
+SELECT ar.name AS artist_name, COUNT(*) AS plays, COUNT({late}.track_id) AS later
+FROM plays p JOIN tracks t ON p.track_id = t.id JOIN albums al ON t.album_id = al.id JOIN artists ar ON al.artist_id = ar.id
+LEFT JOIN (SELECT DISTINCT track_id FROM {late}) {late} ON {late}.track_id = p.track_id
+GROUP BY ar.name"""
+
+
+@register("attached_query", A + ", late_plays AS (SELECT * FROM plays WHERE \"timestamp\" >= TIMESTAMP '2001-06-01')" + ATTACHED_SQL.format(late="late_plays"))
+def q_attached_query(spark, sf_dir):
+    """One query over two roots, the second a stored history of late plays under its own prefix."""
+    import uuid
+
+    from encore.operators.store import SnowflakeStore
+    from encore.schema import Snowflake
+    from encore.session import scratch_path
+
+    s = binding_a(spark, sf_dir)
+    store = SnowflakeStore(spark, scratch_path(spark, "stores", uuid.uuid4().hex))
+    store.commit(Snowflake(s.artists, s.albums, s.tracks, s.plays.filter("timestamp >= TIMESTAMP '2001-06-01'")))
+    adhoc.register_snowflake(s)
+    adhoc.attach(spark, "late", store.root)
+    return adhoc.sql_query(spark, ATTACHED_SQL.format(late="late_plays"))
+
+
 @register(
     "table_rows",
     A

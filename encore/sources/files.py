@@ -65,8 +65,8 @@ def read_jsonl(spark: SparkSession, path: str | list[str], line_numbers: bool =
     return parse_json_lines(text).select("fields", "parse_error", *ORDER_COLS, *(["_line"] if line_numbers else []))
 
 
-#: Names of the columns that hold a row's text if it is broken, and a cell beyond the header's.
-BROKEN, BEYOND = "_broken_row", "_cell_beyond"
+#: Name of the column of a cell beyond the header's.
+BEYOND = "_cell_beyond"
 
 
 def read_delimited(
@@ -76,8 +76,7 @@ def read_delimited(
 
     Each file has its own header; files with the same one are read together. ``_line`` is the
     record's number plus one for the header, so the line if no quoted cell holds a line break. A row
-    with more cells than the header has, or with an open quote, gets a ``parse_error``; one with fewer
-    lacks the last fields. ``multiline`` (line breaks inside quotes) reads a file in one task;
+    that holds something beyond the header's cells gets a ``parse_error``; one with fewer cells lacks the last fields. ``multiline`` (line breaks inside quotes) reads a file in one task;
     without it large files are split.
     """
     paths = [path] if isinstance(path, str) else path
@@ -94,19 +93,13 @@ def read_delimited(
 def _delimited(spark: SparkSession, files: list[str], options: dict[str, str]) -> DataFrame:
     """Files with one header."""
     names = spark.read.options(**options).csv(files[0]).columns
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BROKEN]])
-    rows = spark.read.schema(schema).options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN, enforceSchema="true").csv(files)
+    # one more column than the header has: a cell there is one too many
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BEYOND]])
+    rows = spark.read.schema(schema).options(**options).csv(files)
     rows = with_line_numbers(_with_order(rows)).withColumn("_line", F.col("_line") + 1)
-    if not names:
-        fields = F.create_map().cast("map<string,string>")
-    else:
-        pairs = [x for n in names for x in (F.lit(n), F.col(f"`{n}`"))]
-        fields = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
-    # a broken row's cells once more, with room for one beyond the header
-    wide = ", ".join(f"c{i} string" for i in range(len(names))) + (", " if names else "") + f"{BEYOND} string"
-    cells = F.from_csv(F.col(BROKEN), F.lit(wide), {k: options[k] for k in ("sep", "quote", "escape", "multiLine")} | {"nullValue": "\u0001", "emptyValue": ""})
-    open_quote = F.length(F.regexp_replace(BROKEN, '[^"]', "")) % 2 == 1
-    error = F.when(cells[BEYOND].isNotNull(), F.lit("more cells than the header has")).when(open_quote, F.lit("a quote is not closed"))
+    pairs = [x for n in names for x in (F.lit(n), F.col(f"`{n}`"))]
+    fields = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
+    error = F.when(F.col(BEYOND).isNotNull(), F.lit("more cells than the header has"))
     return rows.select(F.when(error.isNull(), fields).alias("fields"), error.alias("parse_error"), *ORDER_COLS, "_line")
 
 
@@ -115,8 +108,9 @@ def read_history_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     Attributes arrive as ``_mbid``/``_uts``; an element with only an
     attribute (the empty ``<album mbid=..>``) has no ``_VALUE``.
+    Values stay text: a title may look like a time or a number.
     """
-    df = _with_order(spark.read.format("xml").option("rowTag", "track").load(path))
+    df = _with_order(spark.read.format("xml").option("rowTag", "track").option("inferSchema", False).load(path))
 
     def field(name: str, sub: str):
         if name not in df.columns:
@@ -160,14 +154,17 @@ def detect_format(first_line: str) -> str:
     return "jsonl"
 
 
-#: Format by the end of a file's name; other files are told by their first line.
-EXTENSIONS = {".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "jsonl", ".csv": "csv", ".tsv": "tsv", ".xml": "xml"}
+#: Format by the end of a file's name; other files are told by their first line, as csv and tsv from each other.
+EXTENSIONS = {".jsonl": "jsonl", ".ndjson": "jsonl", ".json": "jsonl", ".tsv": "tsv", ".xml": "xml"}
 
 
 def format_of(spark: SparkSession, file: str) -> str:
     name = file.rsplit("/", 1)[-1].lower().removesuffix(".gz")
     found = next((f for end, f in EXTENSIONS.items() if name.endswith(end)), None)
-    return found or detect_format(fs.first_line(spark, file))
+    if found:
+        return found
+    told = detect_format(fs.first_line(spark, file))
+    return "csv" if name.endswith(".csv") and told not in ("csv", "tsv") else told
 
 
 def read_files(spark: SparkSession, files: list[str], fmt: str) -> DataFrame:

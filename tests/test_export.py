@@ -4,6 +4,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from encore.operators import export as ex
 
 
@@ -24,7 +26,11 @@ def test_sampling_is_reproducible(fx3):
     b = [r.id for r in ex.export(fx3, "tracks", sample=0.5, seed=11).collect()]
     assert a == b
     assert ex.export(fx3, "tracks", sample=1.0).count() == 3
-    assert ex.export(fx3, "tracks", sample=0.0).count() == 0
+    for share in (0.0, -0.1, 1.5):
+        with pytest.raises(ValueError, match="share"):
+            ex.export(fx3, "tracks", sample=share)
+    with pytest.raises(ValueError, match="seed"):
+        ex.export(fx3, "tracks", seed=1)
 
 
 def test_writers(fx3, spark):
