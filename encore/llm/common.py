@@ -47,6 +47,23 @@ def removed(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def row_mark(df: DataFrame) -> Column:
+    """Hash of all columns that have one: rows that agree in it stand in for each other. Never null."""
+    plain = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind not in ("void", "variant")]
+    return F.xxhash64(*plain, *[c.isNull() for c in plain])
+
+
 def bucket(buckets: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(max(1, buckets)).cast("long")).cast("int")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encore.llm.blocks import BLOCK_WEIGHT, compare_blocks
-from encore.llm.common import slices, stored, text_bytes
+from encore.llm.common import free_names, row_mark, slices, stored, text_bytes
 from encore.llm.components import components
 from encore.llm.tokens import PLACE, mix64, shingles, split_words, word_hashes
 
@@ -51,7 +51,7 @@ def signatures(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed low bits (rows of 64-bit words) and band keys of rows of minima."""
     low = (least >> np.uint64(32)) & np.uint64((1 << BITS) - 1)
     shift = (np.arange(PERMUTATIONS, dtype=np.uint64) % np.uint64(64 // BITS)) * np.uint64(BITS)
-    packed = (low << shift).reshape(len(least), SIGNATURE, -1).sum(axis=2, dtype=np.uint64)
+    packed = (low << shift).reshape(len(least), SIGNATURE, PERMUTATIONS // SIGNATURE).sum(axis=2, dtype=np.uint64)
     parts = least.reshape(len(least), BANDS, ROWS) * PLACE[100 : 100 + ROWS]
     return packed, mix64(parts.sum(axis=2, dtype=np.uint64) + PLACE[200 : 200 + BANDS])
 
@@ -159,8 +159,12 @@ def _near_nodes(least: float):
     return compare
 
 
-def _alike_pairs(threshold: float):
-    """For compare_blocks, on full sets: the linked pairs of different groups, by counting shared members."""
+def _joining_links(threshold: float):
+    """For compare_blocks, on full sets: of the linked pairs of different groups a spanning forest, by counting shared members.
+
+    A link is given only where it joins two groups that the block's links before it have not joined, so a block gives fewer
+    links than it has groups; the components are those of all links.
+    """
 
     def compare(left: pa.RecordBatch, right: pa.RecordBatch) -> pa.RecordBatch:
         size = np.diff(right.column("items").offsets.to_numpy())
@@ -168,18 +172,26 @@ def _alike_pairs(threshold: float):
         owner = np.repeat(np.arange(right.num_rows), size)
         order = np.argsort(items, kind="stable")
         items, owner = items[order], owner[order]
-        own, node = right.column("own").to_numpy(), right.column("node").to_numpy()
+        node, mine_node = right.column("node").to_numpy(), left.column("node").to_numpy()
+        # the group of each row; groups that a link joins take one number
+        group = np.unique(np.concatenate([left.column("own").to_numpy(), right.column("own").to_numpy()]), return_inverse=True)[1]
+        ours, theirs = group[: left.num_rows], group[left.num_rows :]
         a, b = [], []
         for i in range(left.num_rows):
+            others = theirs != ours[i]
+            if not others.any():
+                continue
             mine = left.column("items")[i].values.to_numpy()
             lo, hi = np.searchsorted(items, mine, "left"), np.searchsorted(items, mine, "right")
             count = hi - lo
             where = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
             shared = np.bincount(owner[where], minlength=right.num_rows)
-            linked = (100 * shared >= 100 * threshold * (len(mine) + size - shared)) & (own != left.column("own")[i].as_py())
-            b.append(node[linked])
-            a.append(np.full(len(b[-1]), left.column("node")[i].as_py(), np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            linked = np.flatnonzero((100 * shared >= 100 * threshold * (len(mine) + size - shared)) & others)
+            joined, first = np.unique(theirs[linked], return_index=True)
+            a += [mine_node[i]] * len(joined)
+            b += node[linked[first]].tolist()
+            group[np.isin(group, joined)] = ours[i]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return compare
 
@@ -192,8 +204,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, doc_id: str = "doc
     corrected for chance, drop pairs far below the threshold, and full sets decide. Texts with
     equal sets are one node. First every member of a band's bucket is held against the bucket's
     smallest member and the groups are joined; then members outside that member's group are held
-    against all of the group and against each other. So a bucket of copies costs one pair a member,
-    and no link between groups is left out. Hot buckets and groups are split by Spark's skew joins;
+    against all of the group and against each other, in blocks, each of which gives a spanning forest of its links. So a bucket of
+    copies costs one pair a member, and no two groups that a link joins stay apart. Hot buckets and groups are split by Spark's skew joins;
     joins of corpus size are merge joins at every size.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id of the group), kept. Null, empty and
@@ -250,7 +262,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, doc_id: str = "doc
     near = stored(near.distinct().join(size.hint("merge"), "node"), "minhash-near")
     more = compare_blocks(
         near.filter("side = 0").drop("side"), near.filter("side = 1").drop("side"), _full_sets(near.select("node"), rows),
-        "lead", "weight", _alike_pairs(threshold), "a long, b long",
+        "lead", "weight", _joining_links(threshold), "a long, b long",
     )
     # a doc_id with rows in several classes ties these together
     key = F.struct("k1", "k2", "n_shingles")
@@ -268,11 +280,34 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, doc_id: str = "doc
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _named_rows(docs: DataFrame, node: str) -> DataFrame:
+    """The rows with a doc_id, with a column ``node``: a number for each text of a doc_id.
+
+    It is the doc_id for the first of its texts (by a hash) and a number from 2^62 on for each other one.
+    """
+    mark = F.xxhash64("text", F.col("text").isNull())
+    rows = docs.filter(F.col("doc_id").isNotNull())
+    texts = rows.select("doc_id", mark.alias("mark")).groupBy("doc_id").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"))
+    of, lo = free_names(docs, "_several", "_first")
+    several = stored(texts.filter("lo <> hi").select(F.col("doc_id").alias(of), F.col("lo").alias(lo)), "minhash-several")
+    if several.isEmpty():
+        return rows.withColumn(node, F.col("doc_id"))
+    met = rows.join(several, F.col("doc_id") == F.col(of), "left")
+    other = F.shiftrightunsigned(F.xxhash64("doc_id", mark), 2).bitwiseOR(F.lit(1 << 62))
+    return met.withColumn(node, F.when(mark != F.col(lo), other).otherwise(F.col("doc_id"))).drop(of, lo)
+
+
 def unique_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (columns doc_id and text among them) that are kept, one row for each doc_id, all columns.
+    """The rows of ``docs`` (columns doc_id and text among them) that are kept, one of each group of near duplicates, all columns.
 
-    Rows without doc_id stay as they are; of rows that repeat a doc_id the least stays.
+    Unlike texts under one doc_id are documents of their own, so each of their groups keeps a row; the rows of one doc_id
+    and text count as one, of which the least by a hash of its columns stays. Rows without doc_id stay as they are. An
+    empty table gives an empty result. Other columns may have any names and types.
     """
-    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    node, one_of, row = free_names(docs, "_node", "_kept", "_row")
+    named = _named_rows(docs, node)
+    kept = near_duplicates(named.select(node, "text"), doc_id=node).filter("kept").select(F.col("doc_id").alias(one_of)).distinct()
+    one = named.join(kept, F.col(node) == F.col(one_of), "left_semi")
+    columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = one.groupBy(node).agg(F.min_by(columns, row_mark(docs)).alias(row)).select(f"{row}.*")
     return one.unionByName(docs.filter(F.col("doc_id").isNull()))

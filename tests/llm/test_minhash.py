@@ -57,7 +57,8 @@ def test_odd_rows(spark, odd, odd_rows, none):
     assert minhash.near_duplicates(none).collect() == []
     kept = minhash.unique_rows(odd).collect()
     ids = [r.doc_id for r in kept if r.doc_id is not None]
-    assert sorted(ids) == sorted({i for i, c in want.items() if i == c})
+    # unlike texts under one doc_id (13) are documents of their own
+    assert sorted(ids) == sorted([*{i for i, c in want.items() if i == c}, 13])
     assert sum(r.doc_id is None for r in kept) == 2
 
 
@@ -85,6 +86,42 @@ def test_chain_where_ends_differ(spark):
     check(spark, [(k, " ".join(t)) for k, t in enumerate(texts)])
 
 
+def test_links_of_a_family_grow_in_proportion(spark, monkeypatch):
+    """A family whose similarities lie around the threshold: the links written follow the documents, not their pairs."""
+    written = {}
+
+    def counted(links):
+        written[counted.size] = max(written.get(counted.size, 0), links.count())
+        return components(links)
+
+    monkeypatch.setattr(minhash, "components", counted)
+    for counted.size in (100, 200, 400):
+        rng = np.random.default_rng(counted.size)
+        base = words(3, 120, 10**6)
+        rows = []
+        for k in range(counted.size):
+            own = list(base)
+            for at in rng.choice(len(own), 3, replace=False):
+                own[at] = f"new{k}_{at}"
+            rows.append((k, " ".join(own)))
+        check(spark, rows)
+    assert all(n < 2 * size for size, n in written.items()), written
+
+
+def test_unlike_texts_of_one_doc_id_are_kept(spark):
+    """A doc_id is no near duplicate of itself: only like texts go, and rows of other columns' types are carried."""
+    a, b = " ".join(words(1, 60)), " ".join(words(2, 60))
+    rows = [(1, a, {"k": 1}), (1, b, {"k": 2}), (1, a, {"k": 1}), (2, b, {"k": 3}), (3, a, None), (None, a, None), (None, None, None)]
+    rows += [(4, None, None), (4, "", None), (5, b + " end", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    got = minhash.unique_rows(df)
+    assert got.columns == df.columns
+    found = [(r.doc_id, r.text) for r in got.collect() if r.doc_id is not None]
+    assert (1, a) in found and sum(t in (b, b + " end") for _, t in found) == 1
+    assert sum(i == 4 for i, _ in found) == 2 and len(found) == 4
+    assert got.filter("doc_id is null").count() == 2
+
+
 def test_estimate_is_near_the_truth(spark):
     base = words(9, 400, 10**6)
     other = base[:300] + words(10, 100, 10**6)
