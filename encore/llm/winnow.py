@@ -9,8 +9,9 @@ from encore.llm.common import stored
 
 #: Units of a gram, and grams of a window. A shared run of GRAM + WINDOW - 1 units leaves a shared mark.
 GRAM, WINDOW = 4, 6
-#: A unit: a word, or a piece of a word longer than 8 characters, so that unspaced text has units too.
-UNIT = r"[^\x20\x09-\x0D]{1,8}"
+#: A unit: a word of up to 8 characters, or each run of 8 characters of a longer one, so that the units of unspaced text
+#: do not depend on where it begins. The group is the unit; a match takes a word's end whole, else one character.
+UNIT = r"(?=([^\x20\x09-\x0D]{1,8}))(?:[^\x20\x09-\x0D]{1,8}+(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D])"
 #: Modulus and base of the rolling hash (a prime below 2^31, so products fit a long).
 MODULUS, BASE = 2147483647, 911382323
 
@@ -28,7 +29,7 @@ def with_marks(df: DataFrame, text: str, out: str, gram: int = GRAM, window: int
     nothing is computed twice.
     """
     keep = df.columns
-    d = df.withColumn("_units", F.regexp_extract_all(F.col(text), F.lit(f"({UNIT})"), F.lit(1)))
+    d = df.withColumn("_units", F.regexp_extract_all(F.col(text), F.lit(UNIT), F.lit(1)))
     d = d.withColumn("_count", F.size("_units"))
     fill = F.array_repeat(F.lit(""), F.lit(gram) - F.col("_count"))
     d = d.withColumn("_units", F.when(F.col("_count").between(1, gram - 1), F.concat(fill, F.col("_units"))).otherwise(F.col("_units")))
@@ -107,9 +108,10 @@ def next_documents(keys: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Winnowed fingerprint of every whole text, of its edited text, and their likeness.
 
-    Units are words (words above 8 characters in pieces), a gram is 4 units hashed by a rolling
+    Units are words (of a word above 8 characters, each run of 8), a gram is 4 units hashed by a rolling
     polynomial, and every window of 6 grams keeps its least hash, the rightmost of ties, with its
-    position: texts that share 9 units in a row share a mark. The edited text is the text whose
+    position: texts that share 9 units in a row share a mark, unspaced texts that share 16 characters
+    inside a longer word. The edited text is the text whose
     last floor(n/2) characters give way to the first as many of the next document (descending
     doc_id, then a hash of the text; the last is followed by the first; nulls last).
 
@@ -130,23 +132,22 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.floor(F.col("n") / 2).cast("int").alias("need"), F.when(~F.col("absent"), F.col("id")).alias("of_doc"),
     )
     needs = stored(needs, "winnow-needs")
-    # what a document needs of the next: its first characters and its hashes
-    # (both joins read the same columns of the rows, so that these are dealt out once)
-    texts = rows.select("id", "mark", "text")
-    given = texts.join(needs, ["id", "mark"])
-    given = with_marks(given.select("of_id", "of_mark", "of_doc", "need", "text"), "text", "next_marks").select(
+    # each text's marks are computed once and dealt out with it; what a document needs of the next are its first
+    # characters and its hashes (both joins read the same columns, so that these are dealt out once)
+    texts = with_marks(rows.select("id", "mark", "text"), "text", "own")
+    given = texts.join(needs, ["id", "mark"]).select(
         F.col("of_id").alias("id"), F.col("of_mark").alias("mark"), F.col("of_doc").alias("doc_id"),
-        F.substring("text", F.lit(1), F.col("need")).alias("head"), hashes(F.col("next_marks")).alias("next_hashes"),
+        F.substring("text", F.lit(1), F.col("need")).alias("head"), hashes(F.col("own")).alias("next_hashes"),
     )
     given = given.groupBy("id", "mark").agg(*[F.first(c).alias(c) for c in ("doc_id", "head", "next_hashes")])
     both = texts.join(given, ["id", "mark"])
     n = F.char_length("text")
     both = both.select(
-        "doc_id", n.cast("long").alias("n_chars"), "text", "next_hashes",
+        "doc_id", n.cast("long").alias("n_chars"), "own", "next_hashes",
         F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), "head").alias("edited"),
     )
-    both = with_marks(with_marks(both, "text", "own"), "edited", "new")
-    both = both.withColumn("edited_sha256", F.sha2("edited", 256)).drop("text", "edited")
+    both = with_marks(both, "edited", "new")
+    both = both.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
     both = both.select("*", hashes(F.col("own")).alias("own_hashes"), hashes(F.col("new")).alias("new_hashes"))
     return both.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("new")).alias("edited_fingerprint"),

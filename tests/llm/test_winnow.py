@@ -1,6 +1,7 @@
 """Fingerprints against a plain winnowing."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -9,11 +10,11 @@ from pyspark.sql import functions as F
 from encore.llm import winnow
 from tests.llm.conftest import documents, words
 
-UNIT = re.compile(r"[^\x20\x09-\x0D]{1,8}")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def plain(text, gram=winnow.GRAM, window=winnow.WINDOW):
-    units = UNIT.findall(text)
+    units = [w[k : k + 8] for w in WORD.findall(text) for k in range(max(1, len(w) - 7))]
     if not units:
         return []
     units = [""] * (gram - len(units)) + units
@@ -85,6 +86,21 @@ def test_match_guarantee(spark):
     assert all(hashes[0] & h for h in hashes.values())
 
 
+def test_unspaced_passage_at_any_offset(spark):
+    """A shared run of 16 characters inside long words leaves a shared mark, wherever it stands in each."""
+    rng = random.Random(5)
+
+    def signs(n):
+        return "".join(rng.choice("的一是不了人我在有他这𝒳") for _ in range(n))
+
+    run = signs(winnow.GRAM + winnow.WINDOW - 1 + 7)
+    rows = [(k, signs(k) + run + signs(17 - k)) for k in range(9)] + [(9 + k, "x " + signs(40) + signs(k) + run + " y") for k in range(9)]
+    df = spark.createDataFrame(rows, "i long, t string")
+    got = {r.i: {m >> 32 for m in r.m} for r in winnow.with_marks(df, "t", "m").collect()}
+    for i in got:
+        assert all(got[i] & got[j] for j in got), i
+
+
 def test_other_sizes(spark):
     df = spark.createDataFrame([(" ".join(words(3, 90)),)], "t string")
     for gram, window in ((1, 1), (3, 4), (5, 7), (6, 2), (7, 8)):
