@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,16 +10,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.llm.bytegru import LENGTH, ByteNetwork
-from encore.llm.common import slices, text_bytes
+from encore.llm.common import bucket, slices, stored, text_bytes
 from encore.llm.quality import held_out
 
-#: Documents of a language to learn from, at most, and runs of bytes drawn from each.
-SAMPLE, RUNS = 400, 8
-#: Languages learnt, at most (the most frequent in the sample): a bound on the sample, not on texts.
-LANGUAGES = 200
+#: Documents to learn from, at most: of a language, and in all, so that many languages give fewer each (one at least).
+SAMPLE, SAMPLE_ALL = 400, 80_000
+#: Runs of bytes drawn from each document, and parts in which a language's documents are ranked first.
+RUNS, PARTS = 8, 64
 NONE = "und"
 
-_ANY_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; other signs for numbers are none."""
+    return any(map(str.isalpha, text))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,17 +40,28 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(bodies, pa.binary())], names=["doc_id", "lang", "run"])
 
 
+def drawn(own: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, lang): the sample of each language, by a seeded hash.
+
+    A language is ranked in PARTS parts first, so one that has most rows is not ranked in one task.
+    """
+    key = F.xxhash64(F.lit(seed), "doc_id")
+    ids = own.select("doc_id", "lang").withColumn("part", bucket(PARTS, F.col("doc_id"))).withColumn("key", key)
+    first = ids.withColumn("k", F.row_number().over(Window.partitionBy("lang", "part").orderBy("key", "doc_id"))).filter(F.col("k") <= SAMPLE)
+    first = stored(first.select("doc_id", "lang", "key"), "language-drawn")
+    each = max(1, min(SAMPLE, SAMPLE_ALL // max(1, first.select("lang").distinct().count())))
+    k = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
+    return first.withColumn("k", k).filter(F.col("k") <= each).select("doc_id", "lang").distinct()
+
+
 def fit(docs: DataFrame, seed: int = 9) -> tuple[ByteNetwork, list[str]] | None:
     """Network and its labels, from a bounded sample of each language; None without labels.
 
-    The sample's ids are drawn per language before anything is shuffled, and broadcast
-    (SAMPLE * LANGUAGES at most), so texts are not shuffled; RUNS * LENGTH bytes of a text reach the driver.
+    The sample's ids are drawn per language before anything is shuffled, and broadcast (SAMPLE_ALL at most, or one a
+    language), so texts are not shuffled; RUNS * LENGTH bytes of a text reach the driver.
     """
     own = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length(F.trim("text")) > 0) & ~held_out(F.col("doc_id"), 4, 2))
-    draw = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
-    chosen = own.select("doc_id", "lang").withColumn("k", F.row_number().over(draw)).filter(F.col("k") <= SAMPLE)
-    top = chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    chosen = chosen.join(F.broadcast(top), "lang", "left_semi").select("doc_id", "lang").distinct()
+    chosen = drawn(own, seed)
     rows = own.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text")
     sample = rows.mapInArrow(_runs, "doc_id long, lang string, run binary").toArrow().to_pylist()
     if not sample:
@@ -70,7 +83,8 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     Two gated recurrent layers read the bytes from either end, in runs of 64 bytes, and give every
     byte a probability of each language; a document's are the means over its letter bytes. The
     network is trained in numpy by backpropagation through time on at most 400 documents of each
-    language (the bound) whose crc32 remainder is not held out.
+    language (80,000 in all, one of each language at least) whose crc32 remainder is not held out. Every language of
+    those can be predicted.
 
     Returns doc_id, held_out, lang_pred, score. Null texts and texts without a letter are `und`
     with score 0, as is everything when no row has a language; a null doc_id is neither held out nor learnt from; repeated
@@ -89,7 +103,7 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
                     network, labels = fitted
                     pooled = network.pooled(*text_bytes(part.column("text")))
                     for i, body in enumerate(part.column("text")):
-                        if body.is_valid and _ANY_LETTER.search(body.as_py()):
+                        if body.is_valid and has_letter(body.as_py()):
                             best = int(pooled[i].argmax())
                             names[i], score[i] = labels[best], min(1.0, float(pooled[i, best]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
