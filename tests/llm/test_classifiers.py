@@ -112,6 +112,19 @@ def test_toxicity_learns_words_in_context(spark):
     assert np.mean([r.predicted == r.toxic for r in held]) > 0.95
 
 
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_toxicity_held_out(spark, size):
+    """On the given labels, of which a tenth is toxic: 45 toxic ones to learn from at the smaller size."""
+    folder = f"/root/testdata/sf{size}"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    got = toxicity.score_toxicity(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    held = [r for r in got if r.held_out and r.toxic is not None]
+    accuracy = np.mean([r.predicted == r.toxic for r in held])
+    caught = np.mean([r.predicted for r in held if r.toxic])
+    print(size, len(held), accuracy, caught)
+    assert accuracy >= 0.9 and caught >= 0.5
+
+
 def test_thresholds_by_language():
     logit = np.array([-3.0, -2, -1, 0, 1, 2, 3, 4])
     label = np.array([0, 0, 1, 1, 0, 0, 1, 1])
@@ -192,6 +205,23 @@ def test_language_odd_rows(spark, odd, odd_rows, none, monkeypatch):
     assert {r.lang_pred for r in blank} == {"und"}
 
 
+def test_letters():
+    """Signs for numbers are no letters, in any script; modifier letters and ideographs are."""
+    assert not any(language.has_letter(t) for t in ("", "½ ² ①", "12 Ⅷ _ !", "\u0301", "😀"))
+    assert all(language.has_letter(t) for t in ("1a", "漢", "ʰ", "ª", "é"))
+
+
+def test_language_sample(spark, monkeypatch):
+    """At most SAMPLE documents of a language and SAMPLE_ALL in all, but one of every language."""
+    rows = [(k, "a hot one", "aa", "s") for k in range(3000)] + [(5000 + k, "other", f"l{k}", "s") for k in range(300)]
+    own = spark.createDataFrame([(i, t, g) for i, t, g, _ in rows], "doc_id long, text string, lang string")
+    per = {r.lang: r["count"] for r in language.drawn(own, 1).groupBy("lang").count().collect()}
+    assert len(per) == 301 and per["aa"] == min(400, 80_000 // 301)
+    assert sorted(map(str, language.drawn(own.repartition(3), 1).collect())) == sorted(map(str, language.drawn(own, 1).collect()))
+    monkeypatch.setattr(language, "SAMPLE_ALL", 50)
+    assert {r["count"] for r in language.drawn(own, 1).groupBy("lang").count().collect()} == {1}
+
+
 @pytest.mark.parametrize("modulus,rest", [(3, 1), (4, 2), (5, 0)])
 def test_held_out_rule(spark, modulus, rest):
     df = spark.range(200).select(F.col("id"), quality.held_out(F.col("id"), modulus, rest).alias("h"))
