@@ -110,8 +110,11 @@ def find_identifiers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     more = more.select("text_key", "start", "end", "kind").distinct().groupBy("text_key").agg(
         F.collect_list(F.struct("start", "end", "kind")).alias("more")
     )
-    out = scanned.select("doc_id", "text_key", "base").join(more, "text_key", "left")
-    return out.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")).alias("spans"))
+    # only rows with a candidate to find meet what is found
+    may = F.exists("seen", lambda s: ~s["seed"] & (s["kind"] != "other"))
+    out = scanned.filter(may).select("doc_id", "text_key", "base").join(more, "text_key", "left")
+    out = out.select("doc_id", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more")).alias("spans"))
+    return out.union(scanned.filter(~may).select("doc_id", "base", F.col("base").alias("spans")))
 
 
 def identifier_rows(docs: DataFrame) -> DataFrame:

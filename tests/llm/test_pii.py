@@ -1,12 +1,14 @@
 """Personal data: base spans against plain regular expressions, and what the context adds."""
 
 import hashlib
+import random
 import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from encore.llm import pii
+from encore.llm.common import table
 from encore.llm.identifiers import KINDS, base_spans, candidate_spans
 from tests.llm.conftest import documents
 
@@ -95,3 +97,77 @@ def test_unseen_identifiers_may_outnumber_the_seeds(spark):
         start = rows[20 + k][1].index("555")
         assert got[100 + k].spans == f"phone:{start}:{start + 12}"
     assert got[400].spans == ""
+
+
+def plain_scores(rows):
+    """The graph's scores from the definition, edge by edge."""
+    edges = {}
+    for kind, instance, pattern, seed in rows:
+        edges[kind, instance, pattern] = edges.get((kind, instance, pattern), False) or seed
+    seeds = {(k, i) for (k, i, _), seed in edges.items() if seed}
+    score = {(k, i): float((k, i) in seeds) for k, i, _ in edges}
+    for _ in range(pii.ROUNDS):
+        good = {}
+        for kind, pattern in {(k, p) for k, _, p in edges if k != "other"}:
+            own = [score[k, i] for k, i, p in edges if k == kind and p == pattern]
+            others = sum(p == pattern and k != kind for k, _, p in edges)
+            confidence = sum(own) / (sum(own) + others + 1)
+            if confidence >= pii.PATTERN_CONFIDENCE and sum(s >= pii.INSTANCE_SCORE for s in own) >= pii.PATTERN_SUPPORT:
+                good[kind, pattern] = confidence
+        new = {}
+        for kind, instance in score:
+            miss = 1.0
+            for k, i, p in edges:
+                if (k, i) == (kind, instance):
+                    miss *= 1 - good.get((k, p), 0.0)
+            new[kind, instance] = 1.0 if (kind, instance) in seeds else 1 - miss
+        score = new
+    return score
+
+
+def test_graph_against_plain_scores(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(600):
+        kind = rng.choice([*KINDS, "other"])
+        pattern = f"{kind if rng.random() < 0.8 else 'mixed'}{rng.randrange(4)}"
+        instance = rng.randrange(60)
+        rows.append((kind, f"i{instance}", pattern, kind != "other" and instance % 3 == 0))
+    got, _ = pii.score_graph(spark.createDataFrame(rows, "kind string, instance string, pattern string, seed boolean"))
+    want = plain_scores(rows)
+    found = {(r.kind, r.instance): r.score for r in got.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - v) < 1e-9 for k, v in want.items())
+    assert any(0 < v < 1 for v in want.values())
+
+
+def test_discovery_in_the_given_texts(spark):
+    """Unseen identifiers planted into the given documents, in contexts that known ones share: recall and precision."""
+    docs = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "documents").orderBy("doc_id").limit(500).collect()]
+    rng, rows, planted = random.Random(8), [], {}
+    shapes = {
+        "phone": ("call us on", lambda n: f"+1 555 010 {n}", lambda n: f"555-020-{n}"),
+        "email": ("write to", lambda n: f"u{n}@mail.example.org", lambda n: f"u{n} (at) mail (dot) org"),
+        "card": ("card number:", lambda n: "4111 1111 1111 1111", lambda n: f"4111 1111 {n} 1112"),
+    }
+    for k, (i, text) in enumerate(docs):
+        text = text or ""
+        if k % 5 < 3:
+            kind = list(shapes)[k % 5]
+            lead, known, unseen = shapes[kind]
+            at = text.find(" ", rng.randrange(max(1, len(text))))
+            at = len(text) if at < 0 else at
+            new = k // 5 % 2 == 1
+            body = (unseen if new else known)(rng.randrange(1000, 9999))
+            if kind == "card" and not new:
+                body = f"4{rng.randrange(10**14):014d}"
+                body += next(str(d) for d in range(10) if checksum(body + str(d)))
+            text = f"{text[:at]} {lead} {body} please{text[at:]}"
+            if new:
+                planted[i] = (kind, at + 2 + len(lead), at + 2 + len(lead) + len(body))
+        rows.append((i, text, "en", "s"))
+    got = pii.find_identifiers(documents(spark, rows)).collect()
+    added = {(r.doc_id, s.kind, s.start, s.end) for r in got for s in r.spans if s not in r.base}
+    want = {(i, *span) for i, span in planted.items()}
+    recall, precision = len(added & want) / len(want), len(added & want) / max(1, len(added))
+    print("planted", len(want), "recall", recall, "precision", precision)
+    assert recall >= 0.9 and precision >= 0.9
