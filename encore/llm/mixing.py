@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from encore.llm.common import WORD, blocks_for, bucket, running_start, stored
+from encore.llm.common import WORD, blocks_for, bucket, free_names, running_start, stored
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, max_epochs: float) -> list[float]:
@@ -106,25 +106,26 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     cut text is that of the cut text.
     """
     # (id, mark) is never null, so that one dealing of rows serves the join and the numbering of copies
-    plan = mixed.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("mark").alias("_mark")).agg(
+    id_, mark, p, own, k = free_names(docs, "_id", "_mark", "_p", "_taken", "_k")
+    plan = mixed.groupBy(F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("mark").alias(mark)).agg(
         F.struct(
             F.min("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("copies"),
             F.min(F.floor(F.col("taken") / F.greatest("size", F.lit(1)))).alias("whole"),
-        ).alias("_p")
-    ).filter("_p.taken > 0")
-    marked = docs.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_mark", _mark("doc_id", "text", "source"))
-    rows = marked.join(plan, ["_id", "_mark"])
-    before = F.row_number().over(Window.partitionBy("_id", "_mark").orderBy("lang", "n_chars")) - 1
-    size = F.col("_p.size")
+        ).alias(p)
+    ).filter(F.col(p)["taken"] > 0)
+    marked = docs.withColumn(id_, F.coalesce("doc_id", F.lit(0))).withColumn(mark, _mark("doc_id", "text", "source"))
+    rows = marked.join(plan, [id_, mark])
+    before = F.row_number().over(Window.partitionBy(id_, mark).orderBy("lang", "n_chars")) - 1
+    size, whole = F.col(p)["size"], F.col(p)["whole"]
     # beyond the whole repetitions of every copy
-    more = F.col("_p.taken") - F.col("_p.copies") * F.col("_p.whole") * size - before * size
-    rows = rows.withColumn("_taken", F.col("_p.whole") * size + F.least(F.greatest(more, F.lit(0)), size)).filter("_taken > 0")
-    whole, rest = F.floor(F.col("_taken") / size).cast("int"), F.col("_taken") % size
-    times = rows.withColumn("_k", F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
-    cut = F.col("_k") > whole
+    more = F.col(p)["taken"] - F.col(p)["copies"] * whole * size - before * size
+    rows = rows.withColumn(own, whole * size + F.least(F.greatest(more, F.lit(0)), size)).filter(F.col(own) > 0)
+    whole, rest = F.floor(F.col(own) / size).cast("int"), F.col(own) % size
+    times = rows.withColumn(k, F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0))))
+    cut = F.col(k) > whole
     words = F.regexp_extract_all(F.col("text"), F.lit("(" + WORD + ")"), F.lit(1))
     short = F.array_join(F.slice(words, F.lit(1), rest.cast("int")), " ")
     text = F.when(cut, short).otherwise(F.col("text"))
     out = times.withColumn("text", text)
     out = out.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

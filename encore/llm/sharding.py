@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from encore.llm.common import blocks_for, bucket, running_start, stored
+from encore.llm.common import blocks_for, bucket, free_names, row_mark, running_start, stored
 from encore.llm.transport import level_capacities, min_cost_transport
 from encore.session import scratch_path
 
@@ -32,12 +32,6 @@ def _place_large(sizes: list[tuple[int, int]], levels: list[float]) -> tuple[lis
     return place, load
 
 
-def _row_mark(docs: DataFrame) -> Column:
-    """Hash of all columns that have one: rows that agree in it stand in for each other. Never null."""
-    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind not in ("void", "variant")]
-    return F.xxhash64(*plain, *[c.isNull() for c in plain])
-
-
 def assign_shards(
     docs: DataFrame,
     old_shard: Column,
@@ -67,7 +61,7 @@ def assign_shards(
             (F.octet_length(body).cast("long") + HEADER_BYTES).alias("size"),
             F.crc32(body.cast("binary")).alias("text_crc32"),
             F.coalesce(old_shard.cast("int"), F.lit(-1)).alias("old_shard"),
-            _row_mark(docs).alias("row_mark"),
+            row_mark(docs).alias("row_mark"),
         ),
         "reshard-rows",
     )
@@ -99,7 +93,7 @@ def assign_shards(
     schema = "old_shard int, lo long, hi long, shard int"
     blocks = blocks_for(rows)
     placed = running_start(
-        small.withColumn("block", bucket(blocks, F.col("doc_id"))),
+        small.withColumn("block", bucket(blocks, F.col("doc_id"), F.col("row_mark"))),
         ["old_shard"], "block", ["doc_id", "text_crc32", "size", "row_mark"], "size", "start",
     )
     middle = F.col("start") + F.floor(F.col("size") / 2)
@@ -124,26 +118,33 @@ def affected_shards(assigned: DataFrame) -> list[int]:
     return sorted(r.s for r in ends.filter("s >= 0").distinct().collect())
 
 
+def place_columns(docs: DataFrame) -> list[str]:
+    """The columns of the files that name a row's slot and its old shard: _slot and _old_shard, unless ``docs`` has such columns."""
+    return free_names(docs, "_slot", "_old_shard")
+
+
 def rewrite_shards(docs: DataFrame, assigned: DataFrame, path: str, doc_id: str = "doc_id") -> list[int]:
     """Write the files of the affected shards anew, one folder ``shard=K`` each, and return K's.
 
     ``docs`` are the rows given to assign_shards. They meet their shards by doc_id, row_mark and a copy number that
-    both sides count alike, so each row is written once, also where rows repeat a doc_id or a whole row. Columns
-    _slot and _old_shard come with each row. Folders of affected shards that stand below ``path`` are replaced, those
-    left without rows go; shards not returned need no new file and keep theirs.
+    both sides count alike, so each row is written once, also where rows repeat a doc_id or a whole row. The
+    place_columns come with each row (a column shard of ``docs`` goes). Folders of affected shards that stand below ``path``
+    are replaced, those left without rows go; shards not returned need no new file and keep theirs.
     """
     affected = affected_shards(assigned)
-    copies = Window.partitionBy("_id", "_mark")
+    slot, old = place_columns(docs)
+    id_, mark, copy, to = free_names(docs, "_id", "_mark", "_copy", "_to")
+    copies = Window.partitionBy(id_, mark)
     # copies of a row are alike on both sides but for where they go
     where = assigned.select(
-        F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("row_mark").alias("_mark"), F.col("shard").alias("_to"),
-        F.col("slot").alias("_slot"), F.col("old_shard").alias("_old_shard"),
-    ).withColumn("_copy", F.row_number().over(copies.orderBy("_to", "_slot")))
-    where = where.filter(F.col("_to").isin(affected))
-    rows = docs.withColumn("_mark", _row_mark(docs)).withColumn("_id", F.coalesce(F.col(doc_id), F.lit(0))).drop("shard")
-    rows = rows.withColumn("_copy", F.row_number().over(copies.orderBy("_mark")))
-    rows = rows.join(where, ["_id", "_mark", "_copy"]).drop("_id", "_mark", "_copy").withColumnRenamed("_to", "shard")
-    # the numbering deals rows by (_id, _mark) already: the join takes that, else texts would be dealt out twice
+        F.coalesce("doc_id", F.lit(0)).alias(id_), F.col("row_mark").alias(mark), F.col("shard").alias(to),
+        F.col("slot").alias(slot), F.col("old_shard").alias(old),
+    ).withColumn(copy, F.row_number().over(copies.orderBy(to, slot)))
+    where = where.filter(F.col(to).isin(affected))
+    rows = docs.withColumn(mark, row_mark(docs)).withColumn(id_, F.coalesce(F.col(doc_id), F.lit(0))).drop("shard")
+    rows = rows.withColumn(copy, F.row_number().over(copies.orderBy(mark)))
+    rows = rows.join(where, [id_, mark, copy]).drop(id_, mark, copy).withColumnRenamed(to, "shard")
+    # the numbering deals rows by id and mark already: the join takes that, else texts would be dealt out twice
     conf, every = docs.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
     before = conf.get(every)
     conf.set(every, "false")
@@ -175,9 +176,11 @@ def shard_rows(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     affected = rewrite_shards(docs, assigned, path)
     body = F.coalesce("text", F.lit(""))
     columns = ["doc_id", "size", "text_crc32", "shard", "slot", "old_shard"]
-    written = spark.read.schema("doc_id long, text string, _slot long, _old_shard int, shard int").parquet(path).select(
+    slot, old = place_columns(docs)
+    schema = f"doc_id long, text string, {slot} long, {old} int, shard int"
+    written = spark.read.schema(schema).parquet(path).select(
         "doc_id", (F.octet_length(body).cast("long") + HEADER_BYTES).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
-        "shard", F.col("_slot").alias("slot"), F.col("_old_shard").alias("old_shard"),
+        "shard", F.col(slot).alias("slot"), F.col(old).alias("old_shard"),
     )
     out = written.unionByName(assigned.filter(~F.col("shard").isin(affected)).select(*columns))
     return out.select(

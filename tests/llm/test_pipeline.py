@@ -4,6 +4,8 @@ import os
 import subprocess
 import sys
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from encore.llm import cgk, minhash, mixing, quality
 from encore.llm.common import stored, table
@@ -42,6 +44,26 @@ def test_stages(spark):
     assert ids(after) == ids(before)
 
 
+def test_stages_on_odd_rows(spark, odd, none):
+    """Nulls, repeated rows, long and empty texts, and columns that are called as those the stages use inside."""
+    inside = ["_node", "_kept", "_row", "_several", "_first", "_id", "_mark", "_p", "_taken", "_k", "_copy", "_to", "_slot", "_old_shard"]
+    for docs in (odd, none):
+        for c in inside:
+            docs = docs.withColumn(c, F.lit("mine"))
+        rows = docs.count()
+        # the given labels know the odd rows' doc_ids; the quality stage may drop any of them
+        first = stored(corpus_pipeline.keep_quality(spark, docs, DATA), "odd-quality")
+        assert first.columns == docs.columns and first.count() <= rows
+        for name, stage in corpus_pipeline.STAGES[1:]:
+            before, docs = docs, stored(stage(spark, docs, DATA), f"odd-{name}")
+            if name == "sharding":
+                assert docs.count() == before.count()
+            else:
+                assert docs.columns == before.columns
+                assert all(r[c] == "mine" for r in docs.select(*inside).distinct().collect() for c in inside)
+            assert (docs.count() > 0) == (rows > 0)
+
+
 def test_entry_without_the_subpackage(tmp_path):
     """The entry point, and the rest of the library, do without the corpus operators."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
