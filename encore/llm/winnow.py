@@ -72,10 +72,41 @@ def hashes(marked: Column) -> Column:
     return F.array_distinct(F.transform(marked, lambda m: F.shiftright(m, 32).cast("int")))
 
 
+def _position(mark: Column) -> Column:
+    top = (1 << 32) - 1
+    return F.lit(top) - mark.bitwiseAND(F.lit(top))
+
+
 def as_text(marked: Column) -> Column:
     """hash:position, comma-joined."""
-    top = (1 << 32) - 1
-    return F.array_join(F.transform(marked, lambda m: F.concat_ws(":", F.shiftright(m, 32).cast("string"), (F.lit(top) - m.bitwiseAND(F.lit(top))).cast("string"))), ",")
+    return F.array_join(F.transform(marked, lambda m: F.concat_ws(":", F.shiftright(m, 32).cast("string"), _position(m).cast("string"))), ",")
+
+
+#: Columns of a packed fingerprint.
+PACKED = ["hash", "low", "mid", "rest"]
+
+
+def packed(marked: Column) -> list[Column]:
+    """A fingerprint in the form in which it is dealt out, as the columns PACKED: hashes, and positions as a byte, the next
+    byte, and the rest, which is empty where all positions are below 2^16. Ascending positions compress well so."""
+
+    def byte(shift: int) -> Column:
+        return F.transform(marked, lambda m: (F.shiftright(_position(m), shift).bitwiseAND(F.lit(255)) - 128).cast("byte"))
+
+    last = _position(F.element_at(marked, F.greatest(F.size(marked), F.lit(1))))
+    rest = F.transform(marked, lambda m: F.shiftright(_position(m), 16).cast("int"))
+    none = F.array().cast("array<int>")
+    whole = F.when(F.size(marked) == 0, none).when(last < (1 << 16), none).otherwise(rest)
+    columns = [F.transform(marked, lambda m: F.shiftright(m, 32).cast("int")), byte(0), byte(8), whole]
+    return [c.alias(name) for c, name in zip(columns, PACKED, strict=True)]
+
+
+def packed_text() -> Column:
+    """as_text of the packed fingerprint in the columns PACKED."""
+    low = F.zip_with("low", "mid", lambda a, b: a.cast("long") + 128 + (b.cast("long") + 128) * 256)
+    whole = F.zip_with(low, F.col("rest"), lambda a, b: a + F.shiftleft(b.cast("long"), 16))
+    position = F.when(F.size("rest") > 0, whole).otherwise(low)
+    return F.array_join(F.zip_with(F.col("hash"), position, lambda h, p: F.concat_ws(":", h.cast("string"), p.cast("string"))), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -134,23 +165,25 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     needs = stored(needs, "winnow-needs")
     # each text's marks are computed once and dealt out with it; what a document needs of the next are its first
     # characters and its hashes (both joins read the same columns, so that these are dealt out once)
-    texts = with_marks(rows.select("id", "mark", "text"), "text", "own")
+    texts = with_marks(rows.select("id", "mark", "text"), "text", "own").select("id", "mark", "text", *packed(F.col("own")))
+    # as many hashes as there are positions, so that this join reads them as the other does
+    own_hashes = F.array_distinct(F.slice("hash", F.lit(1), F.greatest(*[F.size(c) for c in PACKED])))
     given = texts.join(needs, ["id", "mark"]).select(
         F.col("of_id").alias("id"), F.col("of_mark").alias("mark"), F.col("of_doc").alias("doc_id"),
-        F.substring("text", F.lit(1), F.col("need")).alias("head"), hashes(F.col("own")).alias("next_hashes"),
+        F.substring("text", F.lit(1), F.col("need")).alias("head"), own_hashes.alias("next_hashes"),
     )
     given = given.groupBy("id", "mark").agg(*[F.first(c).alias(c) for c in ("doc_id", "head", "next_hashes")])
     both = texts.join(given, ["id", "mark"])
     n = F.char_length("text")
     both = both.select(
-        "doc_id", n.cast("long").alias("n_chars"), "own", "next_hashes",
+        "doc_id", n.cast("long").alias("n_chars"), *PACKED, "next_hashes",
         F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 2)).cast("int")), "head").alias("edited"),
     )
     both = with_marks(both, "edited", "new")
     both = both.withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
-    both = both.select("*", hashes(F.col("own")).alias("own_hashes"), hashes(F.col("new")).alias("new_hashes"))
+    both = both.select("*", own_hashes.alias("own_hashes"), hashes(F.col("new")).alias("new_hashes"))
     return both.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("new")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", "edited_sha256", packed_text().alias("fingerprint"), as_text(F.col("new")).alias("edited_fingerprint"),
         likeness(F.col("own_hashes"), F.col("new_hashes")).alias("near_edited"),
         likeness(F.col("own_hashes"), F.col("next_hashes")).alias("near_next"),
     )

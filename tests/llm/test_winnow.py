@@ -101,9 +101,34 @@ def test_unspaced_passage_at_any_offset(spark):
         assert all(got[i] & got[j] for j in got), i
 
 
+def test_packed_positions(spark):
+    """A packed fingerprint reads as the fingerprint, with positions on either side of 2^8, 2^16 and 2^24."""
+    top = (1 << 32) - 1
+    places = [[], [0], [3, 255, 256, 65535], [0, 65535, 65536, 70000], [5, 1 << 24, (1 << 31) + 7, top]]
+    rows = [([(((k * 977 + p) % winnow.MODULUS) << 32) + top - p for p in ps],) for k, ps in enumerate(places)]
+    df = spark.createDataFrame(rows, "m array<long>")
+    for r in df.select("m", *winnow.packed(F.col("m"))).select(winnow.as_text(F.col("m")).alias("want"), winnow.packed_text().alias("got"), F.size("m").alias("n")).collect():
+        assert r.got == r.want and r.want.count(":") == r.n
+
+
 def test_other_sizes(spark):
     df = spark.createDataFrame([(" ".join(words(3, 90)),)], "t string")
     for gram, window in ((1, 1), (3, 4), (5, 7), (6, 2), (7, 8)):
         marks = winnow.with_marks(df, "t", "m", gram, window).first().m
         top = (1 << 32) - 1
         assert [(m >> 32, top - (m & top)) for m in marks] == plain(df.first().t, gram, window), (gram, window)
+
+
+def test_texts_are_dealt_out_once(spark):
+    """Both joins of texts read one exchange, so marks are computed once."""
+    rows = [(k, " ".join(words(k, 30)), "en", "s") for k in range(20)]
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        out = winnow.fingerprints(documents(spark, rows))
+        out.collect()
+    finally:
+        spark.conf.set(limit, before)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan
