@@ -206,7 +206,8 @@ def plan_load(
     content = F.md5(F.coalesce(F.to_json("fields"), F.lit("")))
     rows = rows.withColumn("_content", F.when(F.col("reject_reason").isNotNull(), content)).drop("fields", "parse_error")
     valid = F.col("_sampled") & F.col("reject_reason").isNull()
-    scratch, any_unread, any_invalid = None, True, True
+    scratch = None
+    counts = [F.count_if(_unread(rows)).alias("unread"), F.count_if(~valid).alias("invalid")]
     if options.materialize:
         # Cut lineage once: the parsed records are written as a Parquet table
         # in the shared checkpoint folder (computed once, columnar) and every
@@ -214,10 +215,13 @@ def plan_load(
         # what later steps are needed for.
         scratch = scratch_path(spark, "loads", uuid.uuid4().hex)
         seen = Observation("load")
-        counts = [F.count_if(_unread(rows)).alias("unread"), F.count_if(~valid).alias("invalid")]
         rows.observe(seen, *counts).write.parquet(scratch)
         rows = spark.read.schema(rows.schema).parquet(scratch)
-        any_unread, any_invalid = seen.get["unread"] > 0, seen.get["invalid"] > 0
+        found = seen.get
+    else:
+        # nothing is kept: one more pass says which steps are needed, each of which would read the records again
+        found = rows.agg(*counts).first().asDict()
+    any_unread, any_invalid = found["unread"] > 0, found["invalid"] > 0
     if options.freeform and any_unread:
         rows = _freeform_repair(rows)
 
