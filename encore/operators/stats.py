@@ -1,4 +1,4 @@
-"""Overview, rollups, filtered history, artist stats, top-N (Q1-Q5, Q10, Q11, Q28, Q37, Q38).
+"""Overview, rollups, filtered history, artist stats, top-N, time ranges.
 
 Plan shape shared by all of them: filter plays by time (pushed into the
 scan), aggregate plays to one row per ``(group keys, track_id)`` with partial
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.operators.joins import (
@@ -358,3 +358,32 @@ def play_gaps(s: Snowflake, newest: int | None = None) -> DataFrame:
         .when(newer.isNotNull(), F.lit("<1"))
         .alias("gap_label"),
     )
+
+
+# ---------------------------------------------------------------- F9/F10 time ranges
+def range_counts(s: Snowflake, ranges: dict[str, tuple]) -> DataFrame:
+    """Plays and distinct tracks in each named range (since, until; both ends included, None: open).
+
+    The bounds are instants or columns. One pass counts the plays of each range per track, whatever the number
+    of ranges; from these rows both figures follow, so no range is a distinct count of its own.
+    """
+    bound = lambda b: b if isinstance(b, Column) else F.lit(b).cast("timestamp")
+    names, counts = list(ranges), []
+    for i, (since, until) in enumerate(ranges.values()):
+        held = F.col("timestamp").isNotNull()
+        if since is not None:
+            held = held & (F.col("timestamp") >= bound(since))
+        if until is not None:
+            held = held & (F.col("timestamp") <= bound(until))
+        counts.append(F.count_if(held).alias(f"n{i}"))
+    per_track = s.plays.groupBy("track_id").agg(*counts)
+    figures = per_track.agg(
+        F.array(*[
+            F.struct(
+                F.lit(name).alias("range"), F.coalesce(F.sum(f"n{i}"), F.lit(0)).cast("long").alias("plays"),
+                F.count_if(F.col(f"n{i}") > 0).alias("tracks"),
+            )
+            for i, name in enumerate(names)
+        ]).alias("r")
+    )
+    return figures.select(F.explode("r").alias("r")).select("r.*")

@@ -377,3 +377,42 @@ FROM items""",
 )
 def q_artist_show(spark, sf_dir):
     return cat.show_items(binding_a(spark, sf_dir), top=10)
+
+
+@register(
+    "album_match",
+    A
+    + f"""
+SELECT al.id AS album_id, al.title AS album_title, ar.name AS artist_name,
+       COUNT(DISTINCT t.id) AS track_count, COUNT(p."timestamp") AS play_count,
+       MIN(p."timestamp") AS first_played, MAX(p."timestamp") AS last_played
+{ALBUM_LEFT}
+WHERE al.title ILIKE '%nation_17%'
+GROUP BY al.id, al.title, ar.name""",
+)
+def q_album_match(spark, sf_dir):
+    """The one album that part of a title names, in lower case."""
+    return cat.album_details(binding_a(spark, sf_dir), album_title="nation_17")
+
+
+@register(
+    "missing_plays",
+    A
+    + """
+SELECT al.id AS album_id, al.title AS album_title, ar.name AS artist_name, COUNT(t.id) AS track_count,
+       CAST(0 AS BIGINT) AS play_count, CAST(NULL AS TIMESTAMP) AS first_played, CAST(NULL AS TIMESTAMP) AS last_played
+FROM albums al JOIN artists ar ON al.artist_id = ar.id LEFT JOIN tracks t ON t.album_id = al.id
+GROUP BY al.id, al.title, ar.name""",
+)
+def q_missing_plays(spark, sf_dir):
+    """A store without a table of plays counts none."""
+    import uuid
+
+    from encore.operators.store import DIMENSIONS, SnowflakeStore
+    from encore.session import scratch_path
+
+    s = binding_a(spark, sf_dir)
+    store = SnowflakeStore(spark, scratch_path(spark, "stores", uuid.uuid4().hex))
+    for name in DIMENSIONS:
+        store.upsert_dimension(name, s.table(name))
+    return cat.album_details_all(store.read())

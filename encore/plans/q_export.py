@@ -73,3 +73,9 @@ WHERE ('0x' || substr(md5('3|' || to_json({'id': id, 'title': title, 'artist_nam
 )
 def q_export_sample(spark, sf_dir):
     return ex.export(binding_a(spark, sf_dir), "tracks", columns=["id", "title", "artist_name"], sample=0.3, seed=3)
+
+
+@register("export_limited", A + "SELECT id, title FROM (" + TRACKS_SQL + " LIMIT 200)")
+def q_export_limited(spark, sf_dir):
+    """Named columns of the first rows in the preset's order."""
+    return ex.export(binding_a(spark, sf_dir), "tracks", columns=["id", "title"], limit=200)

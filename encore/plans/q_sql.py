@@ -23,18 +23,30 @@ def _tables(spark, sf_dir):
     return {t: s.table(t) for t in TABLES}
 
 
-@register(
-    "analyze_tables",
-    A
-    + _each_column(
-        """SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) AS total_rows, COUNT(*) - COUNT("{c}") AS num_null,
+PROFILE_SQL = A + _each_column(
+    """SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) AS total_rows, COUNT(*) - COUNT("{c}") AS num_null,
        COUNT_IF({v} = '') AS num_blank, COUNT(DISTINCT "{c}") AS num_distinct FROM {t}"""
-    ),
 )
+
+
+@register("analyze_tables", PROFILE_SQL)
 def q_analyze_tables(spark, sf_dir):
     return profile.analyze_database(_tables(spark, sf_dir))
 
 
+@register("saved_profile", PROFILE_SQL)
+def q_saved_profile(spark, sf_dir):
+    """The profile as a saved table, read again."""
+    import uuid
+
+    from encore.operators.store import save_table
+    from encore.session import scratch_path
+
+    path = scratch_path(spark, "saved", uuid.uuid4().hex)
+    save_table(profile.analyze_database(_tables(spark, sf_dir)), path)
+    return spark.read.parquet(path)
+
+
 @register(
     "analyze_common",
     A
@@ -171,3 +183,54 @@ def q_sql_arrays(spark, sf_dir):
         "SELECT t.id, t.title, COUNT(p.timestamp) AS plays FROM tracks t LEFT JOIN plays p ON p.track_id = t.id GROUP BY t.id, t.title",
     )
     return as_lines(rows, "arrays")
+
+
+@register(
+    "sql_function",
+    A
+    + """
+SELECT regexp_extract(al.title, '[^_]*$') AS part, COUNT(*) AS tracks
+FROM tracks t JOIN albums al ON t.album_id = al.id GROUP BY 1""",
+)
+def q_sql_function(spark, sf_dir):
+    """A caller's Python function in SQL."""
+
+    def last_part(title):
+        return None if title is None else title.rsplit("_", 1)[-1]
+
+    adhoc.register_snowflake(binding_a(spark, sf_dir))
+    adhoc.register_functions(spark, {"last_part": last_part})
+    # called once an album, before the tracks are joined
+    return adhoc.sql_query(
+        spark,
+        "SELECT al.part, SUM(t.n) AS tracks FROM (SELECT id, last_part(title) AS part FROM albums) al "
+        "JOIN (SELECT album_id, COUNT(*) AS n FROM tracks GROUP BY album_id) t ON t.album_id = al.id GROUP BY al.part",
+    )
+
+
+@register(
+    "files_flatten",
+    A
+    + """
+SELECT ar.name AS album_artist_name, COUNT(DISTINCT al.title) AS albums, COUNT(*) AS tracks
+FROM tracks t JOIN albums al ON t.album_id = al.id JOIN artists ar ON al.artist_id = ar.id GROUP BY ar.name""",
+)
+def q_files_flatten(spark, sf_dir):
+    """The track catalogue as nested JSON lines, queried by flattened column names."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from encore.operators.export import export_tracks, write_output
+    from encore.session import scratch_path
+
+    path = scratch_path(spark, "files", f"nested_{uuid.uuid4().hex}.jsonl")
+    artist = F.struct(F.col("artist_id").alias("id"), F.col("artist_name").alias("name"))
+    album = F.struct(F.col("album_id").alias("id"), F.col("album_title").alias("title"), artist.alias("artist"))
+    write_output(export_tracks(binding_a(spark, sf_dir)).select("id", "title", album.alias("album")), path, fmt="jsonl")
+    name = path.rsplit("/", 1)[-1].removesuffix(".jsonl")
+    return adhoc.files_query(
+        spark, [path],
+        f"SELECT album_artist_name, COUNT(DISTINCT album_title) AS albums, COUNT(*) AS tracks FROM {name} GROUP BY album_artist_name",
+        flatten=True,
+    )

@@ -204,3 +204,72 @@ FROM g""",
 )
 def q_play_gaps(spark, sf_dir):
     return stats.play_gaps(binding_a(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- time forms
+# Phrases of the command line, and the same bounds in SQL.
+PHRASES = {
+    "today": "date_trunc('day', m)",
+    "yesterday": "date_trunc('day', m) - INTERVAL 1 DAY",
+    "5 days ago": "m - INTERVAL 5 DAY",
+    "last week": "m - INTERVAL 7 DAY",
+    "1 month ago": "m - INTERVAL 1 MONTH",
+    "13 months ago": "m - INTERVAL 13 MONTH",
+    "last year": "m - INTERVAL 12 MONTH",
+    "3 years ago": "m - INTERVAL 36 MONTH",
+}
+PERIODS = {
+    "week": "m - INTERVAL 7 DAY",
+    "month": "m - INTERVAL 30 DAY",
+    "quarter": "m - INTERVAL 90 DAY",
+    "year": "m - INTERVAL 365 DAY",
+    "all-time": "CAST(NULL AS TIMESTAMP)",
+}
+
+
+@register(
+    "range_counts",
+    A
+    + """, x AS (SELECT MAX("timestamp") AS m FROM plays),
+b AS ("""
+    + " UNION ALL ".join(f"SELECT '{name}' AS range, {lo} AS lo FROM x" for name, lo in (PHRASES | PERIODS).items())
+    + """)
+SELECT b.range, COUNT(p.track_id) AS plays, COUNT(DISTINCT p.track_id) AS tracks
+FROM b LEFT JOIN plays p ON b.lo IS NULL OR p."timestamp" >= b.lo GROUP BY b.range""",
+)
+def q_range_counts(spark, sf_dir):
+    """relative times and periods back from the last play, all counted in one pass."""
+    from pyspark.sql import functions as F
+
+    from encore.functions.timefn import parse_period, relative_column
+
+    s = binding_a(spark, sf_dir)
+    last = s.plays.select(F.max("timestamp"))
+    as_of = last.first()[0]
+    ranges = {phrase: (relative_column(last.scalar(), phrase), None) for phrase in PHRASES}
+    ranges |= {period: parse_period(period, as_of) for period in PERIODS}
+    return stats.range_counts(s, ranges)
+
+
+@register(
+    "last_play_display",
+    A
+    + """, l AS (SELECT track_id, MAX("timestamp") AS ts FROM plays WHERE "timestamp" >= TIMESTAMP '2000-06-01' GROUP BY track_id)
+SELECT t.id, strftime(l.ts, '%b') AS month, strftime(l.ts, '%Y-%m-%d %H:%M:%S') AS shown,
+       COALESCE(strftime(l.ts, '%Y-%m-%d %H:%M'), '-') AS minute, CAST(floor(epoch(l.ts)) AS BIGINT) AS seconds, l.ts AS instant
+FROM tracks t LEFT JOIN l ON l.track_id = t.id""",
+)
+def q_last_play_display(spark, sf_dir):
+    """The last play of every track since mid 2000 in each of the display forms, missing ones too."""
+    from pyspark.sql import functions as F
+
+    from encore.functions.timefn import display_minute, display_timestamp, from_epoch_seconds, month_label, to_epoch_seconds
+
+    s = binding_a(spark, sf_dir)
+    recent = s.plays.filter(F.col("timestamp") >= F.lit("2000-06-01").cast("timestamp"))
+    last = recent.groupBy(F.col("track_id").alias("id")).agg(F.max("timestamp").alias("ts"))
+    seconds = to_epoch_seconds(F.col("ts"))
+    return s.tracks.select("id").join(last, "id", "left").select(
+        "id", month_label(F.month("ts")).alias("month"), display_timestamp(F.col("ts")).alias("shown"),
+        display_minute(F.col("ts")).alias("minute"), seconds.alias("seconds"), from_epoch_seconds(seconds).alias("instant"),
+    )

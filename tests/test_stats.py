@@ -95,3 +95,15 @@ def test_relative_time():
     assert parse_period("all-time", now) == (None, None)
     with pytest.raises(ValueError):
         parse_period("decade", now)
+
+
+def test_range_counts(fx1, empty):
+    as_of = dt.datetime(2024, 3, 31)
+    ranges = {
+        "all": (None, None), "q1": (dt.datetime(2024, 1, 1), as_of), "2023": (None, dt.datetime(2023, 12, 31)),
+        "bounds": (dt.datetime(2024, 1, 15, 14), dt.datetime(2024, 2, 14, 18)), "later": (as_of, None),
+    }
+    got = {r.range: (r.plays, r.tracks) for r in stats.range_counts(fx1, ranges).collect()}
+    assert got == {"all": (10, 5), "q1": (6, 5), "2023": (4, 3), "bounds": (2, 2), "later": (0, 0)}
+    got = {r.range: (r.plays, r.tracks) for r in stats.range_counts(empty, ranges).collect()}
+    assert got == dict.fromkeys(ranges, (0, 0))
