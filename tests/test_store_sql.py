@@ -198,3 +198,23 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0 and df.columns[:2] == ["year", "month"]
     assert F is not None
+
+
+def test_plays_files_by_month(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from encore.operators import store as store_module
+
+    monkeypatch.setattr(store_module, "PLAYS_A_FILE", 100)
+    store = store_module.SnowflakeStore(spark, str(tmp_path / "s"))
+    hour = lambda start, n: spark.range(n, numPartitions=6).select(
+        F.timestamp_seconds(F.lit(start) + F.col("id") * 60).alias("timestamp"), (F.col("id") % 7).cast("string").alias("track_id")
+    )
+    small, large = hour(1704067200, 50), hour(1706745600, 950)
+    both = small.unionByName(large)
+    assert store.upsert_plays(both) == ["2024-01", "2024-02"]
+    files = {m: len(list((tmp_path / "s" / "plays" / f"month={m}").glob("*.parquet"))) for m in ("2024-01", "2024-02")}
+    assert files["2024-01"] == 1 and 2 <= files["2024-02"] <= 10
+    store.upsert_plays(both)
+    assert sorted(store.read().plays.collect()) == sorted(both.collect())
+    assert store.upsert_plays(both.filter("false")) == []
