@@ -1,52 +1,38 @@
 """Export presets, sampling/limit/columns, writers.
 
 Presets are DataFrame builders; the export options are DataFrame steps
-(``select`` for columns, ``limit`` always applied to the DataFrame, sampling
-by a seeded content hash *after* the limit, as the reference does). Writers
+(``select`` for columns, ``limit`` always applied to the DataFrame, a limit of any size over
+many tasks, sampling by a seeded content hash *after* the limit, as the reference does). Writers
 use Spark's distributed sinks, for a JSON array too (one element a line).
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from encore.operators.catalogue import album_rollup
 from encore.operators.joins import track_dims
+from encore.operators.selection import Key, first_rows, in_order, keys_of
 from encore.schema import Snowflake
 from encore.session import scratch_path
 
 
-def export_plays(s: Snowflake) -> DataFrame:
-    """Q24: full denormalised history, newest first, with all ids."""
-    return (
-        s.plays.join(track_dims(s), "track_id")
-        .select("timestamp", "track_title", "album_title", "artist_name", "track_id", "album_id", "artist_id")
-        .orderBy(F.col("timestamp").desc())
-    )
+def _plays(s: Snowflake) -> DataFrame:
+    columns = ["timestamp", "track_title", "album_title", "artist_name", "track_id", "album_id", "artist_id"]
+    return s.plays.join(track_dims(s), "track_id").select(*columns)
 
 
-def export_tracks(s: Snowflake) -> DataFrame:
-    """Q25: track catalogue ordered by artist, album, title."""
-    return (
-        track_dims(s)
-        .select(
-            F.col("track_id").alias("id"),
-            F.col("track_title").alias("title"),
-            "album_title",
-            "artist_name",
-            "album_id",
-            "artist_id",
-        )
-        .orderBy("artist_name", "album_title", "title")
+def _tracks(s: Snowflake) -> DataFrame:
+    return track_dims(s).select(
+        F.col("track_id").alias("id"), F.col("track_title").alias("title"), "album_title", "artist_name", "album_id", "artist_id"
     )
 
 
-def export_albums(s: Snowflake) -> DataFrame:
-    """Q26: albums with their track count (0 kept), ordered by artist, title."""
+def _albums(s: Snowflake) -> DataFrame:
     al = s.albums.select(F.col("id"), F.col("title"), "artist_id")
     ar = s.artists.select(F.col("id").alias("artist_id"), F.col("name").alias("artist_name"))
     per = s.tracks.groupBy(F.col("album_id").alias("id")).agg(F.count("id").alias("track_count"))
@@ -54,12 +40,10 @@ def export_albums(s: Snowflake) -> DataFrame:
         al.join(ar, "artist_id")
         .join(per, "id", "left")
         .select("id", "title", "artist_name", "artist_id", F.coalesce("track_count", F.lit(0).cast("long")).alias("track_count"))
-        .orderBy("artist_name", "title")
     )
 
 
-def export_artists(s: Snowflake) -> DataFrame:
-    """Q27: artists with album/track/play counts (0 kept), ordered by name."""
+def _artists(s: Snowflake) -> DataFrame:
     rolled = s.albums.select(F.col("id").alias("album_id"), "artist_id").join(album_rollup(s), "album_id", "left")
     per = rolled.groupBy(F.col("artist_id").alias("id")).agg(
         F.count("album_id").alias("album_count"),
@@ -76,18 +60,38 @@ def export_artists(s: Snowflake) -> DataFrame:
             F.coalesce("track_count", zero).alias("track_count"),
             F.coalesce("play_count", zero).alias("play_count"),
         )
-        .orderBy("name")
     )
 
 
-PRESETS: dict[str, Callable[[Snowflake], DataFrame]] = {
-    "plays": export_plays,
-    "tracks": export_tracks,
-    "albums": export_albums,
-    "artists": export_artists,
+# Rows of each preset, and their order; ids break ties.
+PRESETS: dict[str, tuple[Callable[[Snowflake], DataFrame], Sequence[Key]]] = {
+    "plays": (_plays, [Key("timestamp", descending=True), Key("track_id")]),
+    "tracks": (_tracks, keys_of("artist_name", "album_title", "title", "id")),
+    "albums": (_albums, keys_of("artist_name", "title", "id")),
+    "artists": (_artists, keys_of("name", "id")),
 }
 
 
+def export_plays(s: Snowflake) -> DataFrame:
+    """Q24: full denormalised history, newest first, with all ids."""
+    return export(s, "plays")
+
+
+def export_tracks(s: Snowflake) -> DataFrame:
+    """Q25: track catalogue ordered by artist, album, title."""
+    return export(s, "tracks")
+
+
+def export_albums(s: Snowflake) -> DataFrame:
+    """Q26: albums with their track count (0 kept), ordered by artist, title."""
+    return export(s, "albums")
+
+
+def export_artists(s: Snowflake) -> DataFrame:
+    """Q27: artists with album/track/play counts (0 kept), ordered by name."""
+    return export(s, "artists")
+
+
 def sample_rows(df: DataFrame, fraction: float, seed: int | None = None) -> DataFrame:
     """P13 for export: keep a row iff a seeded hash of its values is below ``fraction``.
 
@@ -108,17 +112,21 @@ def prepare_export(
     limit: int | None = None,
     sample: float | None = None,
     seed: int | None = None,
+    keys: Sequence[Key] = (),
 ) -> DataFrame:
-    """P9 columns, L7 limit, then P13 sample (sampling after the limit)."""
+    """L7 limit to the first rows in the order of ``keys``, P9 columns, then P13 sample (sampling after the limit)."""
     if seed is not None and sample is None:
         raise ValueError("a seed is of use only with a share to sample")
     if columns:
         missing = [c for c in columns if c not in df.columns]
         if missing:
-            raise ValueError(f"Unknown columns: {', '.join(missing)}")
-        df = df.select(*[F.col(f"`{c}`") for c in columns])
-    if limit is not None:
+            raise ValueError(f"no such columns to export: {', '.join(missing)}")
+    if keys:
+        df = in_order(df, keys) if limit is None else first_rows(df, keys, int(limit))
+    elif limit is not None:
         df = df.limit(int(limit))
+    if columns:
+        df = df.select(*[F.col(f"`{c}`") for c in columns])
     if sample is not None:
         df = sample_rows(df, sample, seed)
     return df
@@ -127,7 +135,8 @@ def prepare_export(
 def export(s: Snowflake, preset: str, **opts) -> DataFrame:
     if preset not in PRESETS:
         raise ValueError(f"Unknown preset: {preset}")
-    return prepare_export(PRESETS[preset](s), **opts)
+    rows, keys = PRESETS[preset]
+    return prepare_export(rows(s), keys=keys, **opts)
 
 
 def _write_array(df: DataFrame, path: str) -> int:

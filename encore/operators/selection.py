@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from encore.session import written
+
 #: Rows that one task may sort; ranges of a round; sampled rows a range.
 RANGE_ROWS, RANGES, SAMPLED = 100_000, 32, 32
 
@@ -122,3 +124,24 @@ def kth(df: DataFrame, keys: Sequence[Key], k: int, range_rows: int = RANGE_ROWS
     """The k-th smallest key (from 1) of ``df``; None if it has fewer rows."""
     found = sorted_range(df.select(*[F.col(f"`{x.name}`") for x in keys]), keys, k - 1, 1, range_rows, ranges).collect()
     return found[0] if found else None
+
+
+def in_order(df: DataFrame, keys: Sequence[Key]) -> DataFrame:
+    return df.orderBy(*[k.order for k in keys])
+
+
+def first_rows(df: DataFrame, keys: Sequence[Key], k: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The first ``k`` rows of ``df`` in the order of ``keys``, for a ``k`` of any size.
+
+    Up to ``range_rows`` this is one top-k. Beyond, the rows are written once, the k-th key is found by counts, and
+    what does not come after it is sorted over many tasks. Only rows that share the k-th key are limited in one task.
+    """
+    if k <= range_rows:
+        return in_order(df, keys).limit(k)
+    df = written(df, "first-rows")
+    last = kth(df, keys, k, range_rows)
+    if last is None:
+        return in_order(df, keys)
+    before = df.filter(~not_before(keys, last))
+    ties = df.filter(not_before(keys, last) & not_after(keys, last)).limit(k - before.count())
+    return in_order(before.unionByName(ties), keys)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from encore.operators import profile
 from encore.operators.distinct import DistinctCounts
 from encore.operators.ranking import positions
-from encore.operators.selection import Key, keys_of, kth, not_after, not_before, sorted_range
+from encore.operators.selection import Key, first_rows, keys_of, kth, not_after, not_before, sorted_range
 from encore.schema import Snowflake, snowflake_from_rows
 
 
@@ -124,3 +124,14 @@ def test_distinct_counts(spark, tmp_path):
     assert tuple(counts.exact(s).first()) == (1, 1, 1, sum(k == "t1" for _, k in plays))
     plan = counts.estimate("2024-02", "2024-03")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(month" in plan
+
+
+def test_first_rows(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, *range(15)]), rng.choice("abcd")) for _ in range(500)]
+    df = spark.createDataFrame(rows, "n int, c string").repartition(5)
+    keys = [Key("n", descending=True), Key("c")]
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    for k in (0, 1, 63, 64, 250, 499, 500, 900):  # rows repeat, so most cuts fall between equal ones
+        assert [tuple(r) for r in first_rows(df, keys, k, range_rows=20).collect()] == want[:k], k
+    assert first_rows(df.limit(0), keys, 50, range_rows=20).collect() == []
