@@ -19,12 +19,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one block of a blocked sum or numbering holds on average.
 BLOCK_ROWS = 5_000
 
-#: Bytes of text that a Python worker handles at a time.
-SLICE_BYTES = 2 << 20
+#: Bytes of text that a Python worker handles at a time: its arrays of words and positions take many times that.
+SLICE_BYTES = 512 << 10
+#: Bytes of the batches that Spark and a Python worker pass to each other, unless the session names others.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound batches by bytes: a batch of the default 10,000 texts takes tens of MB, several times over, on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
+    small_batches(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
@@ -36,6 +46,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As stored, with the folder."""
     ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, "llm", f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path

@@ -77,3 +77,21 @@ def test_entry_without_the_subpackage(tmp_path):
     (tmp_path / "__spark_entry__.py").write_text(text)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    """Neither what a Python worker is sent nor what it handles at a time grows with the length of the texts."""
+    import pyarrow as pa
+
+    from encore.llm import common
+
+    docs = common.stored(spark.range(0, 6000, 1, 1).withColumn("text", F.repeat(F.lit("ten bytes "), 300)), "batches")
+
+    def run(batches):
+        for batch in batches:
+            parts = [p.nbytes for p in common.slices(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes]), pa.array([max(parts)])], names=["n", "sent", "part"])
+
+    got = docs.mapInArrow(run, "n long, sent long, part long").collect()
+    assert sum(r.n for r in got) == 6000
+    assert max(r.sent for r in got) < common.BATCH_BYTES + 10_000 and max(r.part for r in got) < (1 << 20)
