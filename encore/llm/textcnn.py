@@ -87,19 +87,39 @@ class TextCnn:
         self.bias = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
         self.out = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
 
-    def train(self, texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> None:
-        """Adagrad on the weighted log loss (classes weigh the same); only the windows that win the pooling carry gradients."""
+    def flat(self) -> np.ndarray:
+        """All parameters as one vector."""
+        parts = [self.words, self.stems, *self.filters.values(), *self.bias.values(), self.out, np.array([self.out_bias])]
+        return np.concatenate([p.reshape(-1) for p in parts]).astype(np.float32)
+
+    def load(self, flat: np.ndarray) -> None:
+        """Take the parameters from a vector that flat has given."""
+        at = 0
+        for p in [self.words, self.stems, *self.filters.values(), *self.bias.values(), self.out]:
+            p[...] = flat[at : at + p.size].reshape(p.shape)
+            at += p.size
+        self.out_bias = float(flat[at])
+
+    def train(
+        self, texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, square: dict | None = None, share: float | None = None
+    ) -> dict:
+        """Adagrad on the weighted log loss (classes weigh the same); only the windows that win the pooling carry gradients.
+
+        Returns Adagrad's sums of squares, from which another call may go on; share is that of class 1, by default as in the labels.
+        """
         rng = np.random.default_rng(self.seed + 1)
-        share = np.clip(labels.mean(), 0.02, 0.98)
+        share = np.clip(labels.mean() if share is None else share, 0.02, 0.98)
         weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-        square = {"words": np.full(self.words.shape, 1e-2, np.float32), "stems": np.full(self.stems.shape, 1e-2, np.float32)}
-        square |= {("f", w): np.full(f.shape, 1e-2, np.float32) for w, f in self.filters.items()}
-        square |= {("b", w): np.full(FILTERS, 1e-2, np.float32) for w in WIDTHS}
-        square |= {"out": np.full(self.out.shape, 1e-2, np.float32), "bias": 1e-2}
-        for _ in range(EPOCHS):
+        if square is None:
+            square = {"words": np.full(self.words.shape, 1e-2, np.float32), "stems": np.full(self.stems.shape, 1e-2, np.float32)}
+            square |= {("f", w): np.full(f.shape, 1e-2, np.float32) for w, f in self.filters.items()}
+            square |= {("b", w): np.full(FILTERS, 1e-2, np.float32) for w in WIDTHS}
+            square |= {"out": np.full(self.out.shape, 1e-2, np.float32), "bias": 1e-2}
+        for _ in range(epochs):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), BATCH):
                 self._step([texts[i] for i in order[at : at + BATCH]], labels[order[at : at + BATCH]], weight[order[at : at + BATCH]], square)
+        return square
 
     def _step(self, texts, labels, weight, square) -> None:
         size = np.array([len(w) for w, _ in texts])

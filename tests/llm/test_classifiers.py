@@ -125,6 +125,29 @@ def test_toxicity_held_out(spark, size):
     assert accuracy >= 0.9 and caught >= 0.5
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """Thresholds count every labelled document, and parts beyond the first rows teach words that those lack."""
+    from tests.llm.conftest import documents, words
+
+    monkeypatch.setattr(toxicity, "FIRST_ROWS", 400)
+    monkeypatch.setattr(toxicity, "PART_ROWS", 600)
+    seen = []
+    plain = toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda *a: seen.append(a) or plain(*a))
+    rows = []
+    for k in range(2500):
+        body = words(k, 30)
+        if k % 8 == 0:
+            body[k % 30] = "vile" if k % 16 else "nasty"
+        rows.append((k, " ".join(["the", "of", *body]), "en", "s"))
+    labels = spark.createDataFrame([(k, 1, int(k % 8 == 0)) for k in range(2500)], "doc_id long, quality int, toxic int")
+    got = toxicity.score_toxicity(documents(spark, rows), labels).collect()
+    learnt = [k for k in range(2500) if remainder(k, 5)]
+    _, label, _, weight = seen[0]
+    assert weight.sum() == len(learnt) and weight[label == 1].sum() == sum(k % 8 == 0 for k in learnt)
+    assert np.mean([r.predicted == (r.doc_id % 8 == 0) for r in got if r.held_out]) > 0.97
+
+
 def test_thresholds_by_language():
     logit = np.array([-3.0, -2, -1, 0, 1, 2, 3, 4])
     label = np.array([0, 0, 1, 1, 0, 0, 1, 1])
