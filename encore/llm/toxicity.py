@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 3) -> tuple[TextCnn, np.
     thresholds. The driver holds FOLDS + 1 networks and those counts, whatever the number of documents.
     """
     draw = F.xxhash64(F.lit(seed), "doc_id", "token")
-    rows = docs.mapInArrow(_tokens, "doc_id long, token array<int>").join(labels, "doc_id")
+    rows = docs.mapInArrow(_tokens, "doc_id long, token array<int>").join(labels.hint("merge"), "doc_id")
     rows = stored(rows.select("doc_id", "label", "token", draw.alias("draw"), F.pmod(draw, F.lit(FOLDS)).cast("int").alias("fold")), "toxicity-labelled")
     n, toxic, words = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(F.size("token")), F.lit(0))).first()
     if toxic in (0, n):
